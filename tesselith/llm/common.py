@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one Python step holds as word lists at a time.
 STEP_BYTES = 4 << 20
@@ -83,3 +84,20 @@ def steps(batch: pa.RecordBatch, text: str, limit: int = STEP_BYTES) -> Iterator
 def to_batch(columns: dict[str, Iterable], schema: pa.Schema) -> pa.RecordBatch:
     """A record batch of the schema, from lists or arrays by column name."""
     return pa.RecordBatch.from_arrays([c if isinstance(c := columns[f.name], pa.Array) else pa.array(c, f.type) for f in schema], schema=schema)
+
+
+#: A key with over this share of the rows is joined by broadcast; there are fewer than its inverse.
+HOT_SHARE = 1 / 1000
+
+
+def join_counted(rows: DataFrame, table: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """Inner join of rows with a table that has one row per key and, in `count`, how many rows have it.
+
+    Keys with over HOT_SHARE of all rows (fewer than 1000) are joined by
+    broadcast, so that no task gets all rows of such a key; the others by a
+    shuffle. `rows` and `table` are read twice and should be stored tables.
+    """
+    hot = table.where(F.col(count) > total * HOT_SHARE)
+    cold = table.where(F.col(count) <= total * HOT_SHARE)
+    first = rows.join(F.broadcast(hot), key)
+    return first.unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))

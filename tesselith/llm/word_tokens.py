@@ -21,7 +21,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 os.environ.setdefault("RAYON_NUM_THREADS", "1")
 
 #: Pre-tokens that a process keeps with their ids; beyond it the store starts anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 800_000
 #: Characters tried for the fast alphabet: Latin blocks and general punctuation.
 #: None of them composes with another under NFC.
 TRIED = [chr(c) for c in (*range(0x00, 0x250), *range(0x2010, 0x2028), 0x20AC, 0x2122)]
@@ -63,8 +63,9 @@ class WordVocabulary:
         own = {k: "".join(map(re.escape, sorted(set(v)))) for k, v in kinds.items()}
         self.letters, self.numbers, self.spaces = own["letter"], own["number"], own["space"]
         self._known = re.compile(f"[{''.join(own.values())}]*").fullmatch
-        #: The vocabulary's own split, fixed by its file, over the proven classes.
-        self._split = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{own['letter']}]+|[{own['number']}]|[^{own['space']}{own['letter']}{own['number']}]+").findall
+        #: The vocabulary's own split, fixed by its file, over the proven classes; letters
+        #: come first, for no other alternative begins with one.
+        self._split = re.compile(rf"[{own['letter']}]+|[{own['number']}]|'(?:s|t|re|ve|m|ll|d)|[^{own['space']}{own['letter']}{own['number']}]+").findall
 
     def words(self, text: str) -> list[str] | None:
         """The text's pre-tokens, or None if the library has to take the text whole."""
