@@ -13,6 +13,7 @@ from tesselith.llm.byte_bpe import byte_bpe
 from tesselith.llm.compression_quality import compression_quality
 from tesselith.llm.language_id import identify_language
 from tesselith.llm.packing import pack_documents
+from tesselith.llm.parity_join import jaccard_components
 from tesselith.llm.sharding import shard_documents
 from tesselith.llm.token_counts import token_counts
 from tesselith.llm.warc import warc_round_trip
@@ -49,6 +50,10 @@ def op6_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op7_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"), size=4, part=85, per=100)
+
+
 def op8_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_quality(_table(spark, sf_dir, "documents"))
 
@@ -69,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op4_rank_order_language,
         op5_warc_revisits,
         op6_cost_balanced_packing,
+        op7_parity_sketch_join,
         op8_compression_quality,
         op9_whole_token_counts,
         op10_arrow_sequences,
