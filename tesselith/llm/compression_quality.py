@@ -80,6 +80,15 @@ def within_bands(n_bytes: int, whole: float, chunk: float) -> bool:
     return low <= whole <= high and chunk_low <= chunk <= chunk_high
 
 
+def judge(text: str | None, packer: zstandard.ZstdCompressor) -> tuple:
+    """The counts, base_failed, kept and the two ratios of one text."""
+    text = text or ""
+    counts, data = base_counts(text), text.encode()
+    failed = counts[0] < 50 or 100 * counts[4] > 50 * counts[0]
+    ratios = compression_ratios(data, packer) if data else (None, None)
+    return *counts, failed, not failed and within_bands(len(data), *ratios), *ratios
+
+
 def compression_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row with the counts, the two ratios and the verdict.
 
@@ -95,15 +104,20 @@ def compression_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "
         packer = zstandard.ZstdCompressor(level=LEVEL, write_checksum=False)
         for batch in batches:
             for part in steps(batch, "text"):
-                rows = []
-                for text in part.column("text").to_pylist():
-                    text = text or ""
-                    counts = base_counts(text)
-                    failed = counts[0] < 50 or 100 * counts[4] > 50 * counts[0]
-                    data = text.encode()
-                    ratios = compression_ratios(data, packer) if data else (None, None)
-                    rows.append((*counts, failed, not failed and within_bands(len(data), *ratios), *ratios))
+                rows = [judge(t, packer) for t in part.column("text").to_pylist()]
                 columns = dict(zip(schema.names[1:], map(list, zip(*rows, strict=True)), strict=True))
                 yield to_batch({"doc_id": part.column("doc_id")} | columns, schema)
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, chunk_ratio double")
+
+
+def filter_quality(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text is kept by the same rules. No shuffle."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=LEVEL, write_checksum=False)
+        for batch in batches:
+            for part in steps(batch, text_col):
+                yield part.filter(pa.array([judge(t, packer)[6] for t in part.column(text_col).to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
