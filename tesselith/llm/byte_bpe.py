@@ -91,6 +91,14 @@ def byte_vocabulary(path: str, pattern: str) -> ByteVocabulary:
 CHUNK_SCHEMA = pa.schema([("doc_id", pa.int64()), ("refs", pa.list_(pa.uint32())), ("raw", pa.string())])
 
 
+class _Places(dict):
+    """Numbers new words in the order in which they come."""
+
+    def __missing__(self, word: str) -> int:
+        at = self[word] = len(self)
+        return at
+
+
 class _Chunk:
     """Documents dictionary-encoded into one file of the shared folder."""
 
@@ -100,7 +108,7 @@ class _Chunk:
         self.number = uuid.uuid4().int >> 65
         self.sink = self.system.open_output_stream(f"{at}/{self.number}.arrow")
         self.file = pa.ipc.new_stream(self.sink, CHUNK_SCHEMA, options=pa.ipc.IpcWriteOptions(compression="zstd"))
-        self.places: dict[str, int] = {}
+        self.places = _Places()
         self.size = 0
 
     def add(self, own: ByteVocabulary, part: pa.RecordBatch) -> None:
@@ -111,8 +119,6 @@ class _Chunk:
             odd = any(map(text.__contains__, SEPARATORS)) or not text.isascii() and own.unstable(text)
             raw.append(text if odd else None)
             words = [] if odd else own.split(text)
-            for w in set(words) - places.keys():
-                places[w] = len(places)
             refs.append(np.fromiter(map(places.__getitem__, words), np.uint32, len(words)))
             ends.append(ends[-1] + len(words))
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(refs)))
