@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 import sys
 import unicodedata
 import uuid
@@ -13,6 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +21,9 @@ from tesselith.llm.common import new_path, steps, to_batch
 
 #: A chunk of documents shares one dictionary; it ends at so many bytes of text or distinct words.
 CHUNK_BYTES, CHUNK_WORDS = 32 << 20, 600_000
-DICTIONARY = "chunk long, idx int, word string"
+DICTIONARY = "at long, word string"
+#: A word's place is a chunk and a number in its dictionary, in these bits; number 0 has the chunk's file.
+CHUNK_BITS, PLACE_BITS = 16, 24
 #: White space in some libraries only.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 
@@ -37,7 +39,7 @@ class ByteVocabulary:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.split = regex.compile(pattern).findall
-        self.unstable = re.compile(_unstable_letters()).search
+        self.unstable = _unstable_letters()
         table = [b""] * (max(ranks.values()) + 1)
         for token, i in ranks.items():
             table[i] = token
@@ -64,21 +66,15 @@ def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, refs: np.n
     return values[at], ends
 
 
-def _unstable_letters() -> str:
-    """A class of the characters that Unicode versions since 3.2 class differently.
+def _unstable_letters() -> np.ndarray:
+    """By code point, whether Unicode versions since 3.2 class the character differently.
 
-    Libraries follow different Unicode versions; only letters, numbers and
-    white space matter to the split, and those of both versions agree elsewhere.
+    Libraries follow different Unicode versions; only letters, numbers and white
+    space matter to the split. The information separators count as white space
+    in some libraries only.
     """
-    kind = lambda c, db: "s" if c.isspace() and db.category(c) != "Cn" else db.category(c)[0] if db.category(c)[0] in "LN" else ""
-    odd = [c for c in map(chr, range(0x80, sys.maxunicode + 1)) if not 0xD800 <= ord(c) < 0xE000 and kind(c, unicodedata) != kind(c, unicodedata.ucd_3_2_0)]
-    runs: list[list[int]] = []
-    for c in map(ord, odd):
-        if runs and runs[-1][1] == c - 1:
-            runs[-1][1] = c
-        else:
-            runs.append([c, c])
-    return "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in runs) + "]"
+    kind = lambda c, db: "s" if c.isspace() and db.category(c) != "Cn" else k if (k := db.category(c)[0]) in "LN" else ""
+    return np.array([c in range(0x1C, 0x20) or kind(chr(c), unicodedata) != kind(chr(c), unicodedata.ucd_3_2_0) for c in range(sys.maxunicode + 1)])
 
 
 @lru_cache(maxsize=2)
@@ -88,48 +84,61 @@ def byte_vocabulary(path: str, pattern: str) -> ByteVocabulary:
 
 
 #: What a chunk file holds of each document: its words' places in the dictionary, or the text itself.
-CHUNK_SCHEMA = pa.schema([("doc_id", pa.int64()), ("refs", pa.list_(pa.uint32())), ("raw", pa.string())])
+#: The places' bytes lie apart, low to high, for they compress better so.
+CHUNK_SCHEMA = pa.schema([("doc_id", pa.int64()), *((f"byte{i}", pa.list_(pa.uint8())) for i in range(PLACE_BITS // 8)), ("raw", pa.string())])
+DICTIONARY_SCHEMA = pa.schema([("at", pa.int64()), ("word", pa.string())])
 
 
 class _Places(dict):
-    """Numbers new words in the order in which they come."""
+    """Numbers new words from 1, in the order in which they come."""
 
     def __missing__(self, word: str) -> int:
-        at = self[word] = len(self)
+        at = self[word] = len(self) + 1
         return at
 
 
 class _Chunk:
     """Documents dictionary-encoded into one file of the shared folder."""
 
-    def __init__(self, folder: str):
+    def __init__(self, folder: str, number: int):
         self.system, at = fs.FileSystem.from_uri(folder)
         self.system.create_dir(at, recursive=True)
-        self.number = uuid.uuid4().int >> 65
-        self.sink = self.system.open_output_stream(f"{at}/{self.number}.arrow")
+        self.number, self.name = number, f"{number}-{uuid.uuid4().hex}.arrow"
+        self.sink = self.system.open_output_stream(f"{at}/{self.name}")
         self.file = pa.ipc.new_stream(self.sink, CHUNK_SCHEMA, options=pa.ipc.IpcWriteOptions(compression="zstd"))
         self.places = _Places()
         self.size = 0
 
     def add(self, own: ByteVocabulary, part: pa.RecordBatch) -> None:
-        places, refs, ends, raw = self.places, [], [0], []
+        get, refs, ends, raw = self.places.__getitem__, [], [0], []
         for text in part.column("text").to_pylist():
             text = text or ""
             self.size += len(text)
-            odd = any(map(text.__contains__, SEPARATORS)) or not text.isascii() and own.unstable(text)
+            if text.isascii():
+                odd = any(map(text.__contains__, SEPARATORS))
+            else:
+                odd = bool(own.unstable[np.frombuffer(text.encode("utf-32-le"), np.uint32)].any())
             raw.append(text if odd else None)
             words = [] if odd else own.split(text)
-            refs.append(np.fromiter(map(places.__getitem__, words), np.uint32, len(words)))
+            refs.append(np.fromiter(map(get, words), np.uint32, len(words)))
             ends.append(ends[-1] + len(words))
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(refs)))
-        self.file.write_batch(to_batch({"doc_id": part.column("doc_id"), "refs": lists, "raw": raw}, CHUNK_SCHEMA))
+        ends, refs = pa.array(ends, pa.int32()), np.concatenate(refs)
+        planes = {f"byte{i}": pa.ListArray.from_arrays(ends, pa.array((refs >> np.uint32(8 * i)).astype(np.uint8))) for i in range(PLACE_BITS // 8)}
+        self.file.write_batch(to_batch({"doc_id": part.column("doc_id"), "raw": raw} | planes, CHUNK_SCHEMA))
 
     def close(self) -> pa.RecordBatch:
-        """The dictionary; its place -1 keeps a chunk without words."""
+        """The dictionary, after the file's name."""
         self.file.close()
         self.sink.close()
-        words = [None, *self.places]
-        return to_batch({"chunk": np.full(len(words), self.number, np.int64), "idx": np.arange(-1, len(words) - 1, dtype=np.int32), "word": words}, pa.schema([("chunk", pa.int64()), ("idx", pa.int32()), ("word", pa.string())]))
+        words = [self.name, *self.places]
+        return to_batch({"at": np.arange(len(words)) + (self.number << PLACE_BITS), "word": words}, DICTIONARY_SCHEMA)
+
+
+def _refs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all words of a chunk's batch, and where each document's begin."""
+    planes = [batch.column(f"byte{i}") for i in range(PLACE_BITS // 8)]
+    refs = sum(p.values.to_numpy().astype(np.uint32) << np.uint32(8 * i) for i, p in enumerate(planes))
+    return refs, planes[0].offsets.to_numpy()
 
 
 def byte_bpe(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
@@ -154,10 +163,13 @@ def byte_bpe(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     folder = folder or new_path(spark, "byte-bpe")
 
     def explode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, chunk = byte_vocabulary(path, pattern), None
+        from pyspark import TaskContext
+
+        own, chunk, number = byte_vocabulary(path, pattern), None, TaskContext.get().partitionId() << CHUNK_BITS
         for batch in batches:
             for part in steps(batch, "text"):
-                chunk = chunk or _Chunk(f"{folder}/chunks")
+                if chunk is None:
+                    chunk, number = _Chunk(f"{folder}/chunks", number), number + 1
                 chunk.add(own, part)
                 if chunk.size >= CHUNK_BYTES or len(chunk.places) >= CHUNK_WORDS:
                     yield chunk.close()
@@ -166,49 +178,61 @@ def byte_bpe(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             yield chunk.close()
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows.mapInArrow(explode, DICTIONARY).write.option("compression", "zstd").parquet(f"{folder}/dictionary")
+    rows.mapInArrow(explode, DICTIONARY).write.option("compression", "zstd").option("parquet.writer.version", "PARQUET_2_0").parquet(f"{folder}/dictionary")
     dictionary = spark.read.schema(DICTIONARY).parquet(f"{folder}/dictionary")
 
-    encoded_schema = pa.schema([("chunk", pa.int64()), ("idx", pa.int32()), ("ids", pa.binary())])
+    encoded_schema = pa.schema([("at", pa.int64()), ("ids", pa.binary())])
+    place_mask = (1 << PLACE_BITS) - 1
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, last, ids = byte_vocabulary(path, pattern), None, b""
         for batch in batches:
             out = []
-            for word in batch.column("word").to_pylist():  # sorted: equal words follow each other
-                if word != last:
-                    last, ids = word, own.encode_word(word) if word is not None else b""
+            named = np.asarray(batch.column("at")) & place_mask == 0
+            for word, name in zip(batch.column("word").to_pylist(), named.tolist(), strict=True):
+                if name:
+                    out.append(word.encode())
+                    continue
+                if word != last:  # sorted: equal words follow each other
+                    last, ids = word, own.encode_word(word)
                 out.append(ids)
-            yield to_batch({"chunk": batch.column("chunk"), "idx": batch.column("idx"), "ids": out}, encoded_schema)
+            yield to_batch({"at": batch.column("at"), "ids": out}, encoded_schema)
 
-    # a word has a row per chunk at most, so no word outweighs a partition; the rows for place -1 spread by chunk
-    spread = F.when(F.col("word").isNull(), F.hash("chunk")).otherwise(F.lit(0))
+    # a word has a row per chunk at most, so no word outweighs a partition
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    encoded = dictionary.repartition(n, "word", spread).sortWithinPartitions("word").mapInArrow(encode, "chunk long, idx int, ids binary")
+    encoded = dictionary.repartition(n, "word").sortWithinPartitions("word").mapInArrow(encode, "at long, ids binary")
 
     digest_schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
-    def reassemble(table: pa.Table) -> pa.Table:
-        own = byte_vocabulary(path, pattern)
-        places = table.column("idx").to_numpy()
-        ids = table.column("ids").combine_chunks()
-        ids = pa.concat_arrays(ids.chunks) if isinstance(ids, pa.ChunkedArray) else ids
-        begins = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64)
-        flat = np.frombuffer(ids.buffers()[2] or b"", np.uint8)[: begins[-1]].view(own.kind) if begins[-1] else np.empty(0, own.kind)
-        starts, sizes = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
-        starts[places + 1] = begins[:-1] // own.kind.itemsize
-        sizes[places + 1] = np.diff(begins) // own.kind.itemsize
-        system, at = fs.FileSystem.from_uri(f"{folder}/chunks/{table.column('chunk')[0]}.arrow")
-        out = []
+    def reassemble(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held = None, []
+        for batch in batches:  # sorted: a chunk's rows follow each other, by place
+            of = np.asarray(batch.column("at")) >> PLACE_BITS
+            begin = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else []
+            for i, j in zip(begin, [*begin[1:], len(of)], strict=True):
+                if of[i] != chunk:
+                    if held:
+                        yield from digests(held)
+                    chunk, held = of[i], []
+                held.append(batch.column("ids").slice(i, j - i))
+        if held:
+            yield from digests(held)
+
+    def digests(held: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+        own, ids = byte_vocabulary(path, pattern), pa.concat_arrays(held)
+        sizes = np.asarray(pc.binary_length(ids)).astype(np.int64)
+        name, sizes = ids[0].as_py().decode(), sizes // own.kind.itemsize
+        flat = np.frombuffer(b"".join(ids[1:].to_pylist()), own.kind)
+        sizes[0] = 0
+        system, at = fs.FileSystem.from_uri(f"{folder}/chunks/{name}")
         with system.open_input_stream(at) as source, pa.ipc.open_stream(source) as stream:
             for batch in stream:
-                out.append(_digests(own, batch, flat, starts, sizes))
-        return pa.Table.from_batches(out, digest_schema)
+                yield _digests(own, batch, flat, np.cumsum(sizes) - sizes, sizes)
 
     def _digests(own: ByteVocabulary, batch: pa.RecordBatch, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
-        refs = batch.column("refs")
-        ids, ends = gather(flat, starts, sizes, refs.values.to_numpy() + np.uint32(1))
-        bounds = np.append(0, ends)[refs.offsets.to_numpy()]
+        refs, begins = _refs(batch)
+        ids, ends = gather(flat, starts, sizes, refs)
+        bounds = np.append(0, ends)[begins]
         decoded, ends = own.decode(ids)
         byte_bounds = np.append(0, ends)[bounds]
         wide, n, a, b = ids.astype("<u4"), [], [], []
@@ -222,4 +246,5 @@ def byte_bpe(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             b.append(hashlib.sha256(y.tobytes()).hexdigest())
         return to_batch({"doc_id": batch.column("doc_id"), "n_tokens": n, "ids_sha256": a, "decoded_sha256": b}, digest_schema)
 
-    return encoded.groupBy("chunk").applyInArrow(reassemble, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    by_chunk = encoded.repartition(n, F.shiftright("at", PLACE_BITS)).sortWithinPartitions("at")
+    return by_chunk.mapInArrow(reassemble, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
