@@ -14,7 +14,7 @@ from tesselith.llm.common import join_counted, remove, steps, stored, to_batch
 from tesselith.llm.components import connected_components
 
 #: Words whose hashes a process keeps; beyond it the store starts anew.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 300_000
 #: A size band reaches to this multiple of its least size.
 BAND_RATIO = 1.5
 #: Parts of a partition of the sketch; a key leaves one part out.
@@ -144,6 +144,8 @@ def may_link(a_size, b_size, differ, part: int, per: int):
 
 #: Members of a run that are compared at a time; a longer run is compared piece by piece.
 PIECE = 4096
+#: Bytes of text whose keys a task makes at a time, and how many times as many partitions keys are dealt to as documents are.
+KEY_STEP, KEY_SHARE = 1 << 20, 3
 #: Ids of documents whose sets are fetched by broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: A row is a document (digest, n, sketch) or a document's place in a run of equal keys (key, pivot, piece).
@@ -158,7 +160,7 @@ def _keys(size: int, part: int, per: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen, row = Bands(part, per, 1), set(), 0
         for batch in batches:
-            for piece in steps(batch, "text"):
+            for piece in steps(batch, "text", KEY_STEP):
                 ids, sets = piece.column("doc").to_pylist(), shingle_sets(piece.column("text").to_pylist(), size)
                 largest = max(map(len, sets))
                 if bands.lows[-1] <= largest:
@@ -339,7 +341,7 @@ def jaccard_components(df: DataFrame, size: int = 5, part: int = 80, per: int =
     texts = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = texts.mapInArrow(_keys(size, part, per), "key long, doc long, extra binary")
-    rows, _ = stored(keyed.repartition(n, "key").sortWithinPartitions("key", "doc").mapInArrow(_runs, ROWS), "parity-rows")
+    rows, _ = stored(keyed.repartition(KEY_SHARE * n, "key").sortWithinPartitions("key", "doc").mapInArrow(_runs, ROWS), "parity-rows")
     light, members = rows.where("n is not null").select("doc", "digest", "n", "sketch"), rows.where("key is not null").select("key", "pivot", "piece", "doc")
     filled = light.where("n > 0 and doc is not null")
     classes, _ = stored(filled.groupBy("digest").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies")), "parity-classes")
