@@ -60,7 +60,7 @@ def count_tokens(texts: list[str | None], path: str, single: frozenset[str]) ->
             rest[i] = [w for w in words if w not in single]
             out[i] = len(words) - len(rest[i])
     needed = {w for x in rest.values() for w in x}
-    missing = sorted(needed - merged.keys())
+    missing = sorted(w for w in needed if w not in merged)
     if len(merged) + len(missing) > KEPT_COUNTS:
         merged.clear()
         missing = sorted(needed)

@@ -89,7 +89,7 @@ class WordVocabulary:
     def learn(self, words: Iterable[str]) -> None:
         """Puts the ids of every word given into the store."""
         words = set(words)
-        missing = sorted(words - self.store.keys())
+        missing = sorted(w for w in words if w not in self.store)
         if len(self.store) + len(missing) > KEPT_WORDS:
             self.store.clear()
             missing = sorted(words)
