@@ -134,3 +134,30 @@ class BoundQuery:
 def bits(items: Iterable[Any], of: tuple) -> int:
     """A mask with the places of the items set."""
     return sum(1 << of.index(x) for x in set(items))
+
+
+def query_to_json(query: Query) -> dict:
+    """A query as plain data; values as in a layout's catalog."""
+    from tesselith.metadata.boundary import _out
+
+    return {
+        "measures": [{"name": m.name, "aggregate": m.aggregate, "expression": m.expression, "columns": list(m.columns)} for m in query.measures],
+        "predicates": [[p.attribute, p.op, _out(p.value)] for p in query.predicates],
+        "residual": query.residual,
+        "group_by": list(query.group_by),
+    }
+
+
+def query_from_json(data: dict) -> Query:
+    """Reads what query_to_json() gives. A key that it does not know is an error, never ignored."""
+    from tesselith.metadata.boundary import _in
+
+    unknown = set(data) - {"measures", "predicates", "residual", "group_by"}
+    if unknown:
+        raise UnsupportedError(f"parts of a query: {', '.join(sorted(unknown))}")
+    measures = []
+    for m in data["measures"]:
+        if extra := set(m) - {"name", "aggregate", "expression", "columns"}:
+            raise UnsupportedError(f"parts of a measure: {', '.join(sorted(extra))}")
+        measures.append(Measure(m["name"], m["aggregate"], m.get("expression", "*"), tuple(m.get("columns", ()))))
+    return Query(measures, [Predicate(a, op, _in(v)) for a, op, v in data.get("predicates", ())], data.get("residual"), tuple(data.get("group_by", ())))
