@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,14 +14,11 @@ from pyspark.sql import functions as F
 from tesselith.llm.common import join_counted, remove, steps, stored, to_batch
 from tesselith.llm.components import connected_components
 
-#: Words whose hashes a process keeps; beyond it the store starts anew.
-KEPT_WORDS = 300_000
 #: A size band reaches to this multiple of its least size.
 BAND_RATIO = 1.5
 #: Parts of a partition of the sketch; a key leaves one part out.
 PARTS = 4
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
-_words: dict[bytes, int] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,31 +28,62 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+#: By byte: whether it ends words; its value in a word's hash, that of the small letter for A-Z.
+_BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_VALUES = mix(np.where((np.arange(256) >= 0x41) & (np.arange(256) <= 0x5A), np.arange(256) + 32, np.arange(256)).astype(np.uint64) + np.uint64(1))
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_powers = np.ones(1, np.uint64)
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word of all texts, in order, and how many words each text has.
+
+    Words are runs of bytes other than ASCII white space, with A-Z in lower
+    case; a word's hash mixes the sum of its bytes' values times powers of a
+    constant.
+    """
+    global _powers
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+    solid = ~_BLANK[data]
+    first = solid.copy()
+    first[1:] &= ~solid[:-1]
+    starts = ends[:-1][ends[:-1] < len(data)]
+    first[starts] |= solid[starts]
+    begin = np.flatnonzero(first)
+    if not len(begin):
+        return np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
+    at = np.cumsum(solid)[begin] - 1
+    sizes = np.diff(np.append(at, int(solid.sum())))
+    while len(_powers) <= sizes.max():
+        _powers = np.concatenate([_powers, _powers * (_powers[-1:] * _STEP)])
+    values = _VALUES[data[solid]]
+    values *= _powers[np.arange(len(values)) - np.repeat(at, sizes)]
+    counts = np.diff(np.searchsorted(begin, ends), prepend=0)
+    return mix(np.add.reduceat(values, at) + sizes.astype(np.uint64)), counts
+
+
 def shingle_sets(texts: Iterable[str | None], size: int) -> list[np.ndarray]:
     """Each text's distinct shingles of `size` words, as sorted 64-bit hashes.
 
-    Words are runs of characters other than ASCII white space, with A-Z in lower
-    case. A text with fewer words is one shingle; one without words has none.
+    A text with fewer words is one shingle; one without words has none.
     """
-    split = [(t or "").encode().lower().split() for t in texts]
-    words = set().union(*split)
-    missing = [w for w in words if w not in _words]
-    if len(_words) + len(missing) > KEPT_WORDS:
-        _words.clear()
-        missing = words
-    _words.update((w, xxhash.xxh3_64_intdigest(w)) for w in missing)
-    get, out = _words.__getitem__, []
-    for own in split:
-        n = len(own)
-        h = np.fromiter(map(get, own), np.uint64, n)
-        if not n:
-            out.append(h)
-            continue
-        width = min(size, n)
-        acc = np.full(n - width + 1, width, np.uint64)
-        for i in range(width):
-            acc = mix(acc ^ h[i : n - width + 1 + i]) + np.uint64(i + 1)
-        out.append(np.unique(acc))
+    flat, counts = word_hashes([(t or "").encode() for t in texts])
+    full = _combined(flat, size)  # of all texts at once; those that reach into the next text are not used
+    out, end = [], 0
+    for n in counts.tolist():
+        end += n
+        found = full[end - n : end - size + 1] if n >= size else _combined(flat[end - n : end], n)
+        out.append(np.unique(found) if n else flat[:0])
+    return out
+
+
+def _combined(hashes: np.ndarray, width: int) -> np.ndarray:
+    """A hash of every `width` hashes in a row."""
+    n = max(len(hashes) - width + 1, 0)
+    out = np.full(n, width, np.uint64)
+    for i in range(width if n else 0):
+        out = mix(out ^ hashes[i : i + n]) + np.uint64(i + 1)
     return out
 
 
@@ -148,10 +177,11 @@ PIECE = 4096
 KEY_STEP, KEY_SHARE = 1 << 20, 3
 #: Ids of documents whose sets are fetched by broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: A row is a document (digest, n, sketch) or a document's place in a run of equal keys (key, pivot, piece).
-ROWS = "key long, pivot long, piece int, doc long, digest binary, n long, sketch binary"
-ROW_SCHEMA = pa.schema([("key", pa.int64()), ("pivot", pa.int64()), ("piece", pa.int32()), ("doc", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("sketch", pa.binary())])
-KEY_SCHEMA = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("extra", pa.binary())])
+#: A row is a document (doc, digest, n, sketch) or a class's place in a run of equal keys (key, pivot, piece, class).
+#: A class of equal sets goes by the first eight bytes of its digest; joins by it may find two, never none.
+ROWS = "key long, pivot long, piece int, class long, doc long, digest binary, n long, sketch binary"
+ROW_SCHEMA = pa.schema([("key", pa.int64()), ("pivot", pa.int64()), ("piece", pa.int32()), ("class", pa.int64()), ("doc", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("sketch", pa.binary())])
+KEY_SCHEMA = pa.schema([("key", pa.int64()), ("value", pa.int64()), ("extra", pa.binary())])
 
 
 def _keys(size: int, part: int, per: int):
@@ -165,63 +195,69 @@ def _keys(size: int, part: int, per: int):
                 largest = max(map(len, sets))
                 if bands.lows[-1] <= largest:
                     bands = Bands(part, per, 2 * largest)
-                keys, docs, extra = [], [], []
+                keys, values, extra = [], [], []
                 for i, x in zip(ids, sets, strict=True):
                     digest = xxhash.xxh3_128_digest(x.tobytes())
                     extra.append(digest + len(x).to_bytes(8, "little") + (parity_sketch(x).tobytes() if len(x) else b""))
                     if i is not None and len(x) and digest not in seen:
                         seen.add(digest)
                         keys.append(pigeonhole_keys(x, bands))
-                        docs.append(np.full(len(keys[-1]), i, np.int64))
+                        values.append(np.full(len(keys[-1]), int.from_bytes(digest[:8], "big", signed=True)))
                 # documents go to any task: they are only written there
                 spread = mix(np.arange(row, row + len(ids), dtype=np.uint64) + np.uint64(abs(hash(ids[0]))))
                 row += len(ids)
-                yield to_batch({"key": spread.view(np.int64), "doc": pa.array(ids, pa.int64()), "extra": extra}, KEY_SCHEMA)
+                yield to_batch({"key": spread.view(np.int64), "value": pa.array(ids, pa.int64()), "extra": extra}, KEY_SCHEMA)
                 if keys:
-                    k, d = np.concatenate(keys).view(np.int64), np.concatenate(docs)
+                    k, v = np.concatenate(keys).view(np.int64), np.concatenate(values)
                     for j in range(0, len(k), 1 << 18):
-                        yield to_batch({"key": k[j : j + (1 << 18)], "doc": d[j : j + (1 << 18)], "extra": pa.nulls(len(k[j : j + (1 << 18)]), pa.binary())}, KEY_SCHEMA)
+                        yield to_batch({"key": k[j : j + (1 << 18)], "value": v[j : j + (1 << 18)], "extra": pa.nulls(len(k[j : j + (1 << 18)]), pa.binary())}, KEY_SCHEMA)
 
     return run
 
 
 def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted key rows to the members of runs of two or more, a batch at a time; document rows pass through."""
-    held_key = held_doc = None  # a run of one so far, not given out
+    """Sorted key rows to the members of runs of two classes or more, a batch at a time; document rows pass through."""
+    held: tuple | None = None  # a run of one so far, not given out
+    last: tuple | None = None  # the last row, for a class has rows of several tasks
     run_key = run_pivot = None  # a run that has been given out so far, and its length
     run_len = 0
+    blank = {f.name: f.type for f in ROW_SCHEMA}
+
+    def rows(**columns) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        return to_batch({c: pa.nulls(n, t) for c, t in blank.items()} | columns, ROW_SCHEMA)
+
     for batch in batches:
-        extra = batch.column("extra")
-        is_doc = np.asarray(extra.is_valid())
-        if is_doc.any():
-            own = batch.filter(pa.array(is_doc))
+        is_doc = batch.column("extra").is_valid()
+        own, rest = batch.filter(is_doc), batch.filter(pc.invert(is_doc))
+        if len(own):
             data = own.column("extra").to_pylist()
-            nulls = pa.nulls(len(own), pa.int64())
-            yield to_batch({"key": nulls, "pivot": nulls, "piece": pa.nulls(len(own), pa.int32()), "doc": own.column("doc"), "digest": [x[:16] for x in data], "n": [int.from_bytes(x[16:24], "little") for x in data], "sketch": [x[24:] for x in data]}, ROW_SCHEMA)
-        rest = batch.filter(pa.array(~is_doc))
+            yield rows(doc=own.column("value"), digest=[x[:16] for x in data], n=[int.from_bytes(x[16:24], "little") for x in data], sketch=[x[24:] for x in data])
         if not len(rest):
             continue
-        k, d = rest.column("key").to_numpy(), rest.column("doc").to_numpy()
-        if held_key is not None:
-            k, d = np.append(held_key, k), np.append(held_doc, d)
-            held_key = None
+        k, d = rest.column("key").to_numpy(), rest.column("value").to_numpy()
+        fresh = np.append((k[0], d[0]) != last, (k[1:] != k[:-1]) | (d[1:] != d[:-1]))
+        last = k[-1], d[-1]
+        k, d = k[fresh], d[fresh]
+        if held is not None:
+            k, d, held = np.append(held[0], k), np.append(held[1], d), None
+        if not len(k):
+            continue
         start = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
         size = np.diff(np.append(start, len(k)))
         number = np.repeat(np.arange(len(start)), size)
-        before = np.zeros(len(start), np.int64)
-        pivot = d[start].copy()
+        before, pivot = np.zeros(len(start), np.int64), d[start].copy()
         if k[0] == run_key:
             before[0], pivot[0] = run_len, run_pivot
         total = size + before
         if total[-1] == 1:
-            held_key, held_doc, run_key = k[-1], d[-1], None
+            held, run_key = (k[-1], d[-1]), None
         else:
             run_key, run_pivot, run_len = k[-1], pivot[-1], int(total[-1])
         keep = total[number] > 1
-        at = np.arange(len(k)) - start[number] + before[number]
         if keep.any():
-            m = int(keep.sum())
-            yield to_batch({"key": k[keep], "pivot": pivot[number][keep], "piece": (at[keep] // PIECE).astype(np.int32), "doc": d[keep], "digest": pa.nulls(m, pa.binary()), "n": pa.nulls(m, pa.int64()), "sketch": pa.nulls(m, pa.binary())}, ROW_SCHEMA)
+            at = np.arange(len(k)) - start[number] + before[number]
+            yield rows(key=k[keep], pivot=pivot[number][keep], piece=(at[keep] // PIECE).astype(np.int32), **{"class": d[keep]})
 
 
 def _sketches(column: pa.Array) -> list[np.ndarray]:
@@ -282,7 +318,7 @@ def _across(part: int, per: int):
     return run
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, docs: DataFrame, size: int, part: int, per: int) -> DataFrame:
+def _verify(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size: int, part: int, per: int) -> DataFrame:
     """The pairs (a, b of class representatives) whose whole sets link."""
     spark = pairs.sparkSession
     reps, path = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "parity-verified")
@@ -296,7 +332,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, docs: DataFrame, size: int, part
                 yield to_batch({"doc": piece.column("doc"), "digest": [xxhash.xxh3_128_digest(x) for x in own], "set": own}, set_schema)
 
     # an id that several texts have stands for the class of which it is the representative
-    own = docs.where("doc = rep").select("doc", "digest").distinct().join(wanted, "doc")
+    own = classes.select(F.col("rep").alias("doc"), "digest").join(wanted, "doc")
     known, sets_path = stored(texts.join(wanted, "doc").mapInArrow(sets, "doc long, digest binary, set binary").join(own, ["doc", "digest"]).select("doc", "set"), "parity-sets")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -340,21 +376,22 @@ def jaccard_components(df: DataFrame, size: int = 5, part: int = 80, per: int =
     spark = df.sparkSession
     texts = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = texts.mapInArrow(_keys(size, part, per), "key long, doc long, extra binary")
-    rows, _ = stored(keyed.repartition(KEY_SHARE * n, "key").sortWithinPartitions("key", "doc").mapInArrow(_runs, ROWS), "parity-rows")
-    light, members = rows.where("n is not null").select("doc", "digest", "n", "sketch"), rows.where("key is not null").select("key", "pivot", "piece", "doc")
+    keyed = texts.mapInArrow(_keys(size, part, per), "key long, value long, extra binary")
+    rows, _ = stored(keyed.repartition(KEY_SHARE * n, "key").sortWithinPartitions("key", "value").mapInArrow(_runs, ROWS), "parity-rows")
+    light, members = rows.where("n is not null").select("doc", "digest", "n", "sketch"), rows.where("key is not null").select("key", "pivot", "piece", "class")
     filled = light.where("n > 0 and doc is not null")
-    classes, _ = stored(filled.groupBy("digest").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies")), "parity-classes")
-    docs, _ = stored(join_counted(filled, classes, "digest", "copies", filled.count()).select("doc", "rep", "digest", "n", "sketch").distinct(), "parity-docs")
+    number = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")
+    classes, _ = stored(filled.groupBy("digest").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).withColumn("class", number), "parity-classes")
+    docs = join_counted(filled.select("doc", "digest"), classes.select("digest", "rep", "copies"), "digest", "copies", filled.count()).select("doc", "rep").distinct()
 
-    side = lambda c: docs.select(F.col("doc").alias(c), F.col("rep").alias(f"{c}_rep"), F.col("n").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_sketch"))
-    stars = members.where("pivot != doc").select(F.col("pivot").alias("p"), F.col("doc").alias("q")).distinct().join(side("p"), "p").join(side("q"), "q").where("p_rep != q_rep")
+    side = lambda c: classes.select(F.col("class").alias(c), F.col("rep").alias(f"{c}_rep"), F.col("n").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_sketch"))
+    stars = members.where("pivot != class").select(F.col("pivot").alias("p"), F.col("class").alias("q")).distinct().join(side("p"), "p").join(side("q"), "q").where("p_rep != q_rep")
     ordered = stars.select(*[F.when(F.col("p_rep") < F.col("q_rep"), F.col(f"{x}{c}")).otherwise(F.col(f"{y}{c}")).alias(to) for x, y, s in (("p", "q", "a"), ("q", "p", "b")) for c, to in (("_rep", s), ("_n", f"{s}_n"), ("_sketch", f"{s}_sketch"))])
     tried, _ = stored(ordered.mapInArrow(_by_sketch(part, per), "a long, b long").distinct(), "parity-pairs")
-    links = _verify(tried, texts, docs, size, part, per)
+    links = _verify(tried, texts, classes, size, part, per)
     found = connected_components(links)
 
-    placed = members.join(docs.select("doc", "rep", "n", "sketch"), "doc").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    placed = members.join(classes.select("class", "rep", "n", "sketch"), "class").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     placed, placed_path = stored(placed, "parity-members")
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m"), F.max("piece").alias("last")).where("low != high and m > 2").select("key", "last")
     spread = placed.join(mixed, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last")))).select("key", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"), "rep", "component", "n", "piece", "sketch")
@@ -362,7 +399,7 @@ def jaccard_components(df: DataFrame, size: int = 5, part: int = 80, per: int =
     more, _ = stored(across.join(tried, ["a", "b"], "left_anti"), "parity-pairs")
     remove(spark, placed_path)
     if not more.isEmpty():
-        found = connected_components(links.unionByName(_verify(more, texts, docs, size, part, per)))
+        found = connected_components(links.unionByName(_verify(more, texts, classes, size, part, per)))
 
-    by_id = docs.select("doc", F.col("rep")).join(found.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
+    by_id = docs.join(found.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     return light.select("doc", "n").join(by_id, "doc", "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
