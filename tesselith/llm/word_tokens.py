@@ -12,7 +12,6 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -21,7 +20,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 os.environ.setdefault("RAYON_NUM_THREADS", "1")
 
 #: Pre-tokens that a process keeps with their ids; beyond it the store starts anew.
-KEPT_WORDS = 800_000
+KEPT_WORDS = 400_000
 #: Characters tried for the fast alphabet: Latin blocks and general punctuation.
 #: None of them composes with another under NFC.
 TRIED = [chr(c) for c in (*range(0x00, 0x250), *range(0x2010, 0x2028), 0x20AC, 0x2122)]
@@ -86,9 +85,8 @@ class WordVocabulary:
                 out += [np.array(self.library.encode(w, add_special_tokens=False).ids, np.uint32) for w in part]
         return out
 
-    def learn(self, words: Iterable[str]) -> None:
+    def learn(self, words: set[str]) -> None:
         """Puts the ids of every word given into the store."""
-        words = set(words)
         missing = sorted(w for w in words if w not in self.store)
         if len(self.store) + len(missing) > KEPT_WORDS:
             self.store.clear()
@@ -98,7 +96,7 @@ class WordVocabulary:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers; a null text has none."""
         split = [self.words(t or "") for t in texts]
-        self.learn({w for x in split if x for w in x})
+        self.learn(set().union(*(x for x in split if x)))
         whole = [i for i, x in enumerate(split) if x is None]
         by_library = dict(zip(whole, self.library.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True)) if whole else {}
         get = self.store.__getitem__
