@@ -15,6 +15,7 @@ from tesselith.metadata.boundary import Boundary
 from tesselith.metadata.interval import Interval
 from tesselith.metadata.layout import Layout, Partition
 from tesselith.metadata.schema import BLOCK_ID, TID, Schema
+from tesselith.sources.shared import remove
 
 
 def table_stats(df: DataFrame) -> tuple[Boundary, frozenset[str], int]:
@@ -81,6 +82,7 @@ def write_layout(df: DataFrame, partitions: Iterable[Partition], path: str, key:
         if wrong:
             raise PlanError(f"cells stored by column, of {rows} rows: {wrong}")
     save_layout(spark, layout, f"{path}/layout.json")
+    remove(spark, f"{path}/base")
     return layout
 
 
