@@ -1,59 +1,20 @@
-"""Helpers that the corpus operators share: the shared folder, scratch tables, batching."""
+"""Helpers that the corpus operators share: stored tables, batching, joins of uneven keys."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of text that one Python step holds as word lists at a time.
-STEP_BYTES = 4 << 20
-
+from tesselith.sources.shared import new_path, remove
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
+__all__ = ["join_counted", "new_path", "remove", "steps", "stored", "to_batch"]
 
-    Where it is unset and the master is local, a temporary folder is made and
-    set. On a cluster an unset folder is an error: a machine-local folder would
-    not be seen by other executors.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    own = f"file://{tempfile.mkdtemp(prefix='tesselith-')}"
-    spark.sparkContext.setCheckpointDir(own)
-    spark.conf.set("spark.checkpoint.dir", own) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-    atexit.register(_remove_quietly, spark, own)
-    return own
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/tesselith/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove_quietly, spark, path)
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a path that new_path() gave, by whatever file system it lies in."""
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def _remove_quietly(spark: SparkSession, path: str) -> None:
-    try:
-        remove(spark, path)
-    except Exception:  # the session may be gone when Python ends
-        pass
+#: Bytes of text that one Python step holds as word lists at a time.
+STEP_BYTES = 4 << 20
 
 
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
