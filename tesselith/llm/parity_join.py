@@ -178,9 +178,11 @@ KEY_STEP, KEY_SHARE = 1 << 20, 3
 #: Ids of documents whose sets are fetched by broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: A row is a document (doc, digest, n, sketch) or a class's place in a run of equal keys (key, pivot, piece, class).
-#: A class of equal sets goes by the first eight bytes of its digest; joins by it may find two, never none.
+#: A class of equal sets goes by the first five bytes of its digest; joins by it may find two, never none.
+#: Keys keep their upper 48 bits, and the zeros around both make the shuffle smaller.
 ROWS = "key long, pivot long, piece int, class long, doc long, digest binary, n long, sketch binary"
 ROW_SCHEMA = pa.schema([("key", pa.int64()), ("pivot", pa.int64()), ("piece", pa.int32()), ("class", pa.int64()), ("doc", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("sketch", pa.binary())])
+KEY_MASK = np.uint64((1 << 64) - (1 << 16))
 KEY_SCHEMA = pa.schema([("key", pa.int64()), ("value", pa.int64()), ("extra", pa.binary())])
 
 
@@ -202,13 +204,13 @@ def _keys(size: int, part: int, per: int):
                     if i is not None and len(x) and digest not in seen:
                         seen.add(digest)
                         keys.append(pigeonhole_keys(x, bands))
-                        values.append(np.full(len(keys[-1]), int.from_bytes(digest[:8], "big", signed=True)))
+                        values.append(np.full(len(keys[-1]), int.from_bytes(digest[:5], "big")))
                 # documents go to any task: they are only written there
                 spread = mix(np.arange(row, row + len(ids), dtype=np.uint64) + np.uint64(abs(hash(ids[0]))))
                 row += len(ids)
                 yield to_batch({"key": spread.view(np.int64), "value": pa.array(ids, pa.int64()), "extra": extra}, KEY_SCHEMA)
                 if keys:
-                    k, v = np.concatenate(keys).view(np.int64), np.concatenate(values)
+                    k, v = (np.concatenate(keys) & KEY_MASK).view(np.int64), np.concatenate(values)
                     for j in range(0, len(k), 1 << 18):
                         yield to_batch({"key": k[j : j + (1 << 18)], "value": v[j : j + (1 << 18)], "extra": pa.nulls(len(k[j : j + (1 << 18)]), pa.binary())}, KEY_SCHEMA)
 
@@ -380,7 +382,7 @@ def jaccard_components(df: DataFrame, size: int = 5, part: int = 80, per: int =
     rows, _ = stored(keyed.repartition(KEY_SHARE * n, "key").sortWithinPartitions("key", "value").mapInArrow(_runs, ROWS), "parity-rows")
     light, members = rows.where("n is not null").select("doc", "digest", "n", "sketch"), rows.where("key is not null").select("key", "pivot", "piece", "class")
     filled = light.where("n > 0 and doc is not null")
-    number = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")
+    number = F.conv(F.hex(F.substring("digest", 1, 5)), 16, 10).cast("long")
     classes, _ = stored(filled.groupBy("digest").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).withColumn("class", number), "parity-classes")
     docs = join_counted(filled.select("doc", "digest"), classes.select("digest", "rep", "copies"), "digest", "copies", filled.count()).select("doc", "rep").distinct()
 
@@ -391,10 +393,13 @@ def jaccard_components(df: DataFrame, size: int = 5, part: int = 80, per: int =
     links = _verify(tried, texts, classes, size, part, per)
     found = connected_components(links)
 
-    placed = members.join(classes.select("class", "rep", "n", "sketch"), "class").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    placed, placed_path = stored(placed, "parity-members")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m"), F.max("piece").alias("last")).where("low != high and m > 2").select("key", "last")
-    spread = placed.join(mixed, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last")))).select("key", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"), "rep", "component", "n", "piece", "sketch")
+    labels = classes.select("class", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    placed, placed_path = stored(members.join(labels, "class").select("key", "piece", "rep", "component"), "parity-members")
+    # runs of several components, one of those that have the same members
+    runs = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m"), F.max("piece").alias("last"), *[F.bit_xor(F.xxhash64("rep", F.lit(i))).alias(f"h{i}") for i in (0, 1)])
+    mixed = runs.where("low != high and m > 2").groupBy("h0", "h1", "m", "last").agg(F.min("key").alias("key")).select("key", "last")
+    sizes = classes.select("rep", "n", "sketch")
+    spread = placed.join(mixed, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last")))).select("key", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"), "rep", "component", "piece").join(sizes, "rep")
     across = spread.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_across(part, per), "a long, b long").distinct()
     more, _ = stored(across.join(tried, ["a", "b"], "left_anti"), "parity-pairs")
     remove(spark, placed_path)
