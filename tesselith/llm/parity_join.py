@@ -111,13 +111,13 @@ class Bands:
 
 
 def pigeonhole_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
-    """The 64-bit keys of a set; linked sets that are not equal share one at least.
+    """The 64-bit keys of a set; linked sets that are not equal share two at least.
 
     In each band the sketch has PARTS words of 64 bits for every partition; a
     shingle flips one bit, so the sketches of two sets differ in as many bits as
-    their symmetric difference has shingles, at most. With more partitions than
-    half of that, one partition differs in one bit at most, so it agrees in all
-    parts but one: a key for each part left out.
+    their symmetric difference has shingles, at most. With two partitions more
+    than half of that, two partitions differ in one bit at most, so each agrees
+    in all parts but one: a key for each part left out.
     """
     out = []
     high = shingles >> np.uint64(32)
@@ -126,7 +126,7 @@ def pigeonhole_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
         most = bands.most[b]
         if not most:  # only equal sets link here
             continue
-        n = most // 2 + 1
+        n = most // 2 + 2
         parts = (high * np.uint64(n * PARTS)) >> np.uint64(32)  # ascending, as the hashes are
         begin = np.flatnonzero(np.append(True, parts[1:] != parts[:-1]))
         words = np.zeros(n * PARTS, np.uint64)
@@ -145,9 +145,9 @@ def linked(a: np.ndarray, b: np.ndarray, part: int, per: int) -> bool:
 
 
 def parity_sketch(shingles: np.ndarray) -> np.ndarray:
-    """A sketch of about as many bits as shingles: a power of two, so that a longer one folds to a shorter."""
+    """A sketch of two to four bits a shingle: a power of two, so that a longer one folds to a shorter."""
     bits = 64
-    while bits < len(shingles):
+    while bits < 2 * len(shingles):
         bits *= 2
     at = np.sort((shingles >> np.uint64(8)) & np.uint64(bits - 1))
     place = (at >> np.uint64(6)).astype(np.int64)
@@ -171,17 +171,17 @@ def may_link(a_size, b_size, differ, part: int, per: int):
     return (per * np.minimum(a_size, b_size) >= part * np.maximum(a_size, b_size)) & ((per + part) * differ <= (per - part) * total)
 
 
-#: Members of a run that are compared at a time; a longer run is compared piece by piece.
+#: Members of a family that are compared at a time; a larger one is compared piece by piece.
 PIECE = 4096
-#: Bytes of text whose keys a task makes at a time, and how many times as many partitions keys are dealt to as documents are.
-KEY_STEP, KEY_SHARE = 1 << 20, 3
+#: Bytes of text whose keys a task makes at a time, and documents for which keys get a partition.
+KEY_STEP, KEY_DOCS = 1 << 20, 2000
 #: Ids of documents whose sets are fetched by broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: A row is a document (doc, digest, n, sketch) or a class's place in a run of equal keys (key, pivot, piece, class).
+#: A row is a document (doc, digest, n, sketch) or a class in a run of equal keys (pivot: its first class; whether it has more than two).
 #: A class of equal sets goes by the first five bytes of its digest; joins by it may find two, never none.
 #: Keys keep their upper 48 bits, and the zeros around both make the shuffle smaller.
-ROWS = "key long, pivot long, piece int, class long, doc long, digest binary, n long, sketch binary"
-ROW_SCHEMA = pa.schema([("key", pa.int64()), ("pivot", pa.int64()), ("piece", pa.int32()), ("class", pa.int64()), ("doc", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("sketch", pa.binary())])
+ROWS = "pivot long, large boolean, class long, doc long, digest binary, n long, sketch binary"
+ROW_SCHEMA = pa.schema([("pivot", pa.int64()), ("large", pa.bool_()), ("class", pa.int64()), ("doc", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("sketch", pa.binary())])
 KEY_MASK = np.uint64((1 << 64) - (1 << 16))
 KEY_SCHEMA = pa.schema([("key", pa.int64()), ("value", pa.int64()), ("extra", pa.binary())])
 
@@ -219,10 +219,10 @@ def _keys(size: int, part: int, per: int):
 
 def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted key rows to the members of runs of two classes or more, a batch at a time; document rows pass through."""
-    held: tuple | None = None  # a run of one so far, not given out
+    none = np.empty(0, np.int64)
+    held = none, none  # a run of one or two so far, not given out
     last: tuple | None = None  # the last row, for a class has rows of several tasks
-    run_key = run_pivot = None  # a run that has been given out so far, and its length
-    run_len = 0
+    run: tuple | None = None  # a longer run that has been given out so far: key, first class
     blank = {f.name: f.type for f in ROW_SCHEMA}
 
     def rows(**columns) -> pa.RecordBatch:
@@ -240,26 +240,24 @@ def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k, d = rest.column("key").to_numpy(), rest.column("value").to_numpy()
         fresh = np.append((k[0], d[0]) != last, (k[1:] != k[:-1]) | (d[1:] != d[:-1]))
         last = k[-1], d[-1]
-        k, d = k[fresh], d[fresh]
-        if held is not None:
-            k, d, held = np.append(held[0], k), np.append(held[1], d), None
+        k, d = np.append(held[0], k[fresh]), np.append(held[1], d[fresh])
         if not len(k):
             continue
         start = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
         size = np.diff(np.append(start, len(k)))
-        number = np.repeat(np.arange(len(start)), size)
-        before, pivot = np.zeros(len(start), np.int64), d[start].copy()
-        if k[0] == run_key:
-            before[0], pivot[0] = run_len, run_pivot
-        total = size + before
-        if total[-1] == 1:
-            held, run_key = (k[-1], d[-1]), None
+        pivot, total = d[start].copy(), size.copy()
+        if run is not None and k[0] == run[0]:
+            pivot[0], total[0] = run[1], 3 + size[0]
+        keep = total > 1
+        if total[-1] < 3:
+            held, run, keep[-1] = (k[start[-1] :], d[start[-1] :]), None, False
         else:
-            run_key, run_pivot, run_len = k[-1], pivot[-1], int(total[-1])
-        keep = total[number] > 1
-        if keep.any():
-            at = np.arange(len(k)) - start[number] + before[number]
-            yield rows(key=k[keep], pivot=pivot[number][keep], piece=(at[keep] // PIECE).astype(np.int32), **{"class": d[keep]})
+            held, run = (none, none), (k[-1], pivot[-1])
+        given = np.repeat(keep, size)
+        if given.any():
+            yield rows(pivot=np.repeat(pivot, size)[given], large=np.repeat(total > 2, size)[given], **{"class": d[given]})
+    if len(held[0]) == 2:
+        yield rows(pivot=held[1][[0, 0]], large=np.zeros(2, bool), **{"class": held[1]})
 
 
 def _sketches(column: pa.Array) -> list[np.ndarray]:
@@ -281,7 +279,7 @@ def _by_sketch(part: int, per: int):
 
 
 def _across(part: int, per: int):
-    """Members sorted by (key, i, j) to the pairs of a run, of different components, that may link."""
+    """Members sorted by (family, i, j) to the pairs of a family, of different components, that may link."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def pairs(rows: list[dict]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -309,10 +307,10 @@ def _across(part: int, per: int):
         group, rows = None, []
         for batch in batches:
             for r in batch.to_pylist():
-                if (r["key"], r["i"], r["j"]) != group:
+                if (r["family"], r["i"], r["j"]) != group:
                     if rows:
                         yield from found(rows)
-                    group, rows = (r["key"], r["i"], r["j"]), []
+                    group, rows = (r["family"], r["i"], r["j"]), []
                 rows.append(r)
         if rows:
             yield from found(rows)
@@ -361,14 +359,17 @@ def jaccard_components(df: DataFrame, size: int = 5, part: int = 80, per: int =
 
     1. One pass over the texts gives every document's size, digest and sketch,
        and the pigeonhole keys of its set (once a task for equal sets). Keys are
-       shuffled and sorted; runs of two or more are kept, with their first member.
-    2. Equal sets become one class, by its smallest doc_id. Each member of a run
-       is paired with the run's first; sizes and sketches (a lower bound of the
-       symmetric difference) exclude most pairs, whole sets decide the rest.
-    3. Runs that still hold several components give their pairs across
-       components, past the same bound, to the same test; long runs are cut into
-       pieces that are compared two by two. So every pair that shares a key is
-       in one component or has been tested, without all pairs being given out.
+       shuffled and sorted; runs of two classes or more are kept. Equal sets are
+       one class, by its smallest doc_id.
+    2. Each member of a run is paired with the run's first. Linked sets share two
+       keys, so a pair that shares but one and is in no larger run is none. Sizes
+       and sketches (a lower bound of the symmetric difference) exclude most of
+       the rest, whole sets decide.
+    3. Members of larger runs whose firsts are in one component are a family; one
+       that holds several components gives its pairs across them, past the same
+       bound, to the same test, a large one piece against piece. So every linked
+       pair is in one component or has been tested, without all pairs of a group
+       being given out.
 
     A text without words, or null, has no shingles and links with nothing; a null
     id has a null component and links with nothing; rows that repeat an id share
@@ -379,28 +380,34 @@ def jaccard_components(df: DataFrame, size: int = 5, part: int = 80, per: int =
     texts = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = texts.mapInArrow(_keys(size, part, per), "key long, value long, extra binary")
-    rows, _ = stored(keyed.repartition(KEY_SHARE * n, "key").sortWithinPartitions("key", "value").mapInArrow(_runs, ROWS), "parity-rows")
-    light, members = rows.where("n is not null").select("doc", "digest", "n", "sketch"), rows.where("key is not null").select("key", "pivot", "piece", "class")
+    parts = max(n, -(-texts.count() // KEY_DOCS))
+    rows, _ = stored(keyed.repartition(parts, "key").sortWithinPartitions("key", "value").mapInArrow(_runs, ROWS), "parity-rows")
+    light, members = rows.where("n is not null").select("doc", "digest", "n", "sketch"), rows.where("large is not null").select("pivot", "class", "large")
     filled = light.where("n > 0 and doc is not null")
     number = F.conv(F.hex(F.substring("digest", 1, 5)), 16, 10).cast("long")
     classes, _ = stored(filled.groupBy("digest").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).withColumn("class", number), "parity-classes")
     docs = join_counted(filled.select("doc", "digest"), classes.select("digest", "rep", "copies"), "digest", "copies", filled.count()).select("doc", "rep").distinct()
 
     side = lambda c: classes.select(F.col("class").alias(c), F.col("rep").alias(f"{c}_rep"), F.col("n").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_sketch"))
-    stars = members.where("pivot != class").select(F.col("pivot").alias("p"), F.col("class").alias("q")).distinct().join(side("p"), "p").join(side("q"), "q").where("p_rep != q_rep")
+    # one row per (first, member); a pair that shares but one key, in a run of two, links only if both are in larger runs too
+    joined, _ = stored(members.groupBy(F.col("pivot").alias("p"), F.col("class").alias("q")).agg(F.count(F.lit(1)).alias("shared"), F.max("large").alias("large")), "parity-members")
+    busy = joined.where("large").select(F.explode(F.array("p", "q")).alias("class")).distinct()
+    several = joined.where("p != q and (large or shared > 1)").select("p", "q")
+    once = joined.where("p != q and not large and shared = 1").select("p", "q").join(busy.withColumnRenamed("class", "p"), "p", "left_semi").join(busy.withColumnRenamed("class", "q"), "q", "left_semi")
+    stars = several.unionByName(once).join(side("p"), "p").join(side("q"), "q").where("p_rep != q_rep")
     ordered = stars.select(*[F.when(F.col("p_rep") < F.col("q_rep"), F.col(f"{x}{c}")).otherwise(F.col(f"{y}{c}")).alias(to) for x, y, s in (("p", "q", "a"), ("q", "p", "b")) for c, to in (("_rep", s), ("_n", f"{s}_n"), ("_sketch", f"{s}_sketch"))])
     tried, _ = stored(ordered.mapInArrow(_by_sketch(part, per), "a long, b long").distinct(), "parity-pairs")
     links = _verify(tried, texts, classes, size, part, per)
     found = connected_components(links)
 
     labels = classes.select("class", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    placed, placed_path = stored(members.join(labels, "class").select("key", "piece", "rep", "component"), "parity-members")
-    # runs of several components, one of those that have the same members
-    runs = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m"), F.max("piece").alias("last"), *[F.bit_xor(F.xxhash64("rep", F.lit(i))).alias(f"h{i}") for i in (0, 1)])
-    mixed = runs.where("low != high and m > 2").groupBy("h0", "h1", "m", "last").agg(F.min("key").alias("key")).select("key", "last")
-    sizes = classes.select("rep", "n", "sketch")
-    spread = placed.join(mixed, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last")))).select("key", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"), "rep", "component", "piece").join(sizes, "rep")
-    across = spread.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_across(part, per), "a long, b long").distinct()
+    # a family: all members of larger runs whose first classes are in one component
+    first = labels.select(F.col("class").alias("p"), F.col("component").alias("family"))
+    placed, placed_path = stored(joined.where("large").select("p", F.col("q").alias("class")).join(first, "p").select("family", "class").distinct().join(labels, "class").select("family", "rep", "component").distinct(), "parity-families")
+    families = placed.groupBy("family").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m")).where("low != high and m > 2").select("family", (F.col("m") / PIECE).cast("int").alias("last"))
+    piece = F.pmod(F.xxhash64("rep"), F.col("last") + 1).cast("int")
+    spread = placed.join(families, "family").withColumn("piece", piece).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last")))).select("family", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"), "rep", "component", "piece").join(classes.select("rep", "n", "sketch"), "rep")
+    across = spread.repartition(n, "family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(_across(part, per), "a long, b long").distinct()
     more, _ = stored(across.join(tried, ["a", "b"], "left_anti"), "parity-pairs")
     remove(spark, placed_path)
     if not more.isEmpty():
