@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from tesselith.llm.common import stored, to_batch
 
 #: Codebooks, words of each, partial sums kept by the encoder, vectors the codebooks are fitted on at most.
-CODEBOOKS, WORDS, BEAM, SAMPLE = 8, 256, 4, 16_384
+CODEBOOKS, WORDS, BEAM, SAMPLE = 40, 32, 4, 16_384
 #: Candidates reranked for each query; vectors that one scoring task holds; queries it scores at a time.
 RERANK, HELD, QUERIES = 200, 131_072, 256
 
