@@ -67,22 +67,31 @@ def best_fit_decreasing(sizes: Iterable[int], capacity: int) -> Iterator[int]:
 
 
 def fewest_capacity(sizes: list[int], bins: int) -> list[int]:
-    """The bin of each size under the least capacity for which best-fit decreasing needs at most `bins`."""
+    """The bin of each size under the least capacity for which best-fit decreasing needs at most `bins`.
+
+    A size over an even share of what is left has a bin alone, so that it does
+    not leave the other bins to a few.
+    """
     order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
     ranked = [sizes[i] for i in order]
-    low = max(-(-sum(ranked) // bins), max(ranked, default=0))
+    alone, rest = 0, sum(ranked)
+    while alone < min(bins - 1, len(ranked)) and ranked[alone] * (bins - alone) > rest:
+        rest -= ranked[alone]
+        alone += 1
+    ranked = ranked[alone:]
+    low = max(-(-rest // (bins - alone)), max(ranked, default=0))
     high, best = 2 * low, None
     while low <= high:
         capacity = (low + high) // 2
         placed = list(best_fit_decreasing(ranked, capacity))
-        if max(placed, default=0) < bins:
+        if max(placed, default=0) < bins - alone:
             best, high = placed, capacity - 1
         else:
             low = capacity + 1
     if best is None:  # twice the bound always suffices: two bins that can't be joined hold more than a capacity
         raise AssertionError("best fit needs more bins than twice the bound allows")
     out = [0] * len(sizes)
-    for i, b in zip(order, best, strict=True):
+    for i, b in zip(order, [*range(alone), *(alone + b for b in best)], strict=True):
         out[i] = b
     return out
 
