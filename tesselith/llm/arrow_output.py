@@ -118,7 +118,8 @@ def read_sequences(spark: SparkSession, folder: str, length: int = LENGTH) -> Da
                 yield to_batch({"doc_id": pa.array(np.frombuffer(row["doc_ids"], np.int64), mask=missing), "start": row["base"] + np.cumsum(sizes) - sizes, "n_tokens": sizes, "ids_crc32": crc}, schema)
 
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    return manifest.join(starts.hint("merge"), "file").repartition(n, "file").select("file", "base", "doc_ids", "null_ids", "lengths").mapInArrow(run, ", ".join(f"{c} long" for c in schema.names))
+    # by another column than the join's, or the few light rows would be read by one task, and all files with them
+    return manifest.join(starts.hint("merge"), "file").repartition(n, "part").select("file", "base", "doc_ids", "null_ids", "lengths").mapInArrow(run, ", ".join(f"{c} long" for c in schema.names))
 
 
 def _crc_by_document(system: fs.FileSystem, at: str, sizes: np.ndarray) -> list[int]:
