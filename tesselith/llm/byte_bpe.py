@@ -22,8 +22,8 @@ from tesselith.llm.common import new_path, steps, to_batch
 #: A chunk of documents shares one dictionary; it ends at so many bytes of text or distinct words.
 CHUNK_BYTES, CHUNK_WORDS = 32 << 20, 600_000
 DICTIONARY = "at long, word string"
-#: A word's place is a chunk and a number in its dictionary, in these bits; number 0 has the chunk's file.
-CHUNK_BITS, PLACE_BITS = 16, 24
+#: Where a word lies: from the lowest bits its number in a chunk's dictionary (0 has the chunk's file), the task, the task's chunk.
+PLACE_BITS, TASK_BITS = 24, 23
 #: White space in some libraries only.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 
@@ -105,7 +105,7 @@ class _Chunk:
         self.system.create_dir(at, recursive=True)
         self.number, self.name = number, f"{number}-{uuid.uuid4().hex}.arrow"
         self.sink = self.system.open_output_stream(f"{at}/{self.name}")
-        self.file = pa.ipc.new_stream(self.sink, CHUNK_SCHEMA, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+        self.file = pa.ipc.new_stream(self.sink, CHUNK_SCHEMA, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3)))
         self.places = _Places()
         self.size = 0
 
@@ -165,11 +165,11 @@ def byte_bpe(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     def explode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        own, chunk, number = byte_vocabulary(path, pattern), None, TaskContext.get().partitionId() << CHUNK_BITS
+        own, chunk, number = byte_vocabulary(path, pattern), None, TaskContext.get().partitionId()
         for batch in batches:
             for part in steps(batch, "text"):
                 if chunk is None:
-                    chunk, number = _Chunk(f"{folder}/chunks", number), number + 1
+                    chunk, number = _Chunk(f"{folder}/chunks", number), number + (1 << TASK_BITS)
                 chunk.add(own, part)
                 if chunk.size >= CHUNK_BYTES or len(chunk.places) >= CHUNK_WORDS:
                     yield chunk.close()
