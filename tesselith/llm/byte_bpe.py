@@ -105,7 +105,7 @@ class _Chunk:
         self.system.create_dir(at, recursive=True)
         self.number, self.name = number, f"{number}-{uuid.uuid4().hex}.arrow"
         self.sink = self.system.open_output_stream(f"{at}/{self.name}")
-        self.file = pa.ipc.new_stream(self.sink, CHUNK_SCHEMA, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3)))
+        self.file = pa.ipc.new_stream(self.sink, CHUNK_SCHEMA, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6)))
         self.places = _Places()
         self.size = 0
 
@@ -127,11 +127,12 @@ class _Chunk:
         self.file.write_batch(to_batch({"doc_id": part.column("doc_id"), "raw": raw} | planes, CHUNK_SCHEMA))
 
     def close(self) -> pa.RecordBatch:
-        """The dictionary, after the file's name."""
+        """The dictionary, after the file's name; by word, for neighbours then compress better in the shuffle."""
         self.file.close()
         self.sink.close()
-        words = [self.name, *self.places]
-        return to_batch({"at": np.arange(len(words)) + (self.number << PLACE_BITS), "word": words}, DICTIONARY_SCHEMA)
+        words = sorted(self.places)
+        at = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
+        return to_batch({"at": np.append(0, at) + (self.number << PLACE_BITS), "word": [self.name, *words]}, DICTIONARY_SCHEMA)
 
 
 def _refs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
