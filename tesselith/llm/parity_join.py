@@ -15,7 +15,7 @@ from tesselith.llm.common import join_counted, remove, steps, stored, to_batch
 from tesselith.llm.components import connected_components
 
 #: A size band reaches to this multiple of its least size.
-BAND_RATIO = 1.5
+BAND_RATIO = 1.3
 #: Parts of a partition of the sketch; a key leaves one part out.
 PARTS = 4
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
