@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tesselith.sources.shared import new_path, remove
 
-__all__ = ["join_counted", "new_path", "remove", "steps", "stored", "to_batch"]
+__all__ = ["join_counted", "new_path", "release", "remove", "steps", "stored", "to_batch"]
 
 #: Bytes of text that one Python step holds as word lists at a time.
 STEP_BYTES = 4 << 20
@@ -42,6 +42,16 @@ def steps(batch: pa.RecordBatch, text: str, limit: int = STEP_BYTES) -> Iterator
         yield batch.slice(begin)
 
 
+def release() -> None:
+    """Gives memory that a task has freed back to the system, for Python workers outlive their tasks."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # absent outside of glibc
+    if trim is not None:
+        trim(0)
+
+
 def to_batch(columns: dict[str, Iterable], schema: pa.Schema) -> pa.RecordBatch:
     """A record batch of the schema, from lists or arrays by column name."""
     return pa.RecordBatch.from_arrays([c if isinstance(c := columns[f.name], pa.Array) else pa.array(c, f.type) for f in schema], schema=schema)

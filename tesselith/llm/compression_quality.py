@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesselith.llm.common import steps, to_batch
+from tesselith.llm.common import release, steps, to_batch
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -119,5 +119,6 @@ def filter_quality(df: DataFrame, text_col: str = "text") -> DataFrame:
         for batch in batches:
             for part in steps(batch, text_col):
                 yield part.filter(pa.array([judge(t, packer)[6] for t in part.column(text_col).to_pylist()], pa.bool_()))
+        release()
 
     return df.mapInArrow(run, df.schema)

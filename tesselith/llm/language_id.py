@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesselith.llm.common import steps, to_batch
+from tesselith.llm.common import release, steps, to_batch
 
 #: N-grams of one to three characters; so many of the most frequent make a profile, or stand for a document.
 RANKS = 400
@@ -159,5 +159,6 @@ def filter_language(df: DataFrame, least: float, profiles: Profiles | None = Non
             for part in steps(batch, text_col):
                 found = [learned.value.predict(t) for t in part.column(text_col).to_pylist()]
                 yield part.filter(pa.array([x != UNKNOWN and score >= least for x, score in found], pa.bool_()))
+        release()
 
     return df.mapInArrow(run, df.schema)

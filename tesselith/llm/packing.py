@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesselith.llm.common import steps, to_batch
+from tesselith.llm.common import release, steps, to_batch
 from tesselith.llm.word_tokens import vocabulary
 
 #: Tokens that one window packs together: bounds memory, and the padding is a fixed few sequences a window.
@@ -161,5 +161,7 @@ def pack_documents(df: DataFrame, path: str, capacity: int = 4096, end_id: int =
                     yield packed()
         if held:
             yield packed()
+        own.store.clear()
+        release()
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, ", ".join(f"{c} long" for c in names))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesselith.llm.common import join_counted, remove, steps, stored, to_batch
+from tesselith.llm.common import join_counted, release, remove, steps, stored, to_batch
 from tesselith.llm.components import connected_components
 
 #: A size band reaches to this multiple of its least size.
@@ -213,6 +213,7 @@ def _keys(size: int, part: int, per: int):
                     k, v = (np.concatenate(keys) & KEY_MASK).view(np.int64), np.concatenate(values)
                     for j in range(0, len(k), 1 << 18):
                         yield to_batch({"key": k[j : j + (1 << 18)], "value": v[j : j + (1 << 18)], "extra": pa.nulls(len(k[j : j + (1 << 18)]), pa.binary())}, KEY_SCHEMA)
+        release()
 
     return run
 
