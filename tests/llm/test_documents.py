@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 
 import corpus_pipeline
 from tesselith.llm.components import connected_components
-from tesselith.llm.compression_quality import BANDS, CHUNK_BYTES, LEVEL, base_counts, compression_quality, filter_quality
+from tesselith.llm.compression_quality import BANDS, CHUNK_BYTES, LEVEL, base_counts, compression_quality, filter_quality, judge
 from tesselith.llm.language_id import RANKS, gram_counts, identify_language, learn_profiles, top_grams
 from tesselith.llm.parity_join import Bands, fold, jaccard_components, linked, parity_sketch, pigeonhole_keys, shingle_sets
 from tesselith.llm.sharding import best_fit_decreasing, fewest_capacity, shard_documents
@@ -181,6 +181,28 @@ def test_bands_reject_repetition_and_noise(spark):
     assert [r["kept"] for r in compression_quality(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()] == [True, True, True, False, False]
 
 
+def test_bands_tell_labelled_junk_from_clean(spark):
+    data = "/root/testdata/sf0.1"
+    # limits were set on even ids
+    rows = compression_quality(spark.read.parquet(f"{data}/documents.parquet")).where("not base_failed and doc_id % 2 = 1")
+    labelled = rows.join(spark.read.parquet(f"{data}/labels.parquet"), "doc_id").select("quality", "kept", (rows.n_symbols > rows.n_words).alias("glued")).collect()
+    share = lambda x: sum(r["kept"] for r in x) / len(x)
+    assert share([r for r in labelled if r["quality"] == 1]) > 0.99
+    assert share([r for r in labelled if r["quality"] == 0 and r["glued"]]) < 0.15
+    assert share([r for r in labelled if r["quality"] == 0]) < 0.5
+
+
+def test_bands_reject_encoded_bytes():
+    rng = random.Random(3)
+    packer = zstandard.ZstdCompressor(level=LEVEL, write_checksum=False)
+    cut = lambda s, k: " ".join(s[i : i + k] for i in range(0, len(s), k))
+    for n in (3000, 6000, 40_000):
+        assert not judge(cut(rng.randbytes(n).hex()[:n], 32), packer)[6]
+        assert not judge(cut(base64.b64encode(rng.randbytes(n)).decode()[:n], 40), packer)[6]
+    words = ["слово", "река", "дом", "камень", "небо", "вода", "город", "лес", "путь", "время", "голос", "рука"]
+    assert judge(" ".join(rng.choice(words) + rng.choice(words) for _ in range(300)), packer)[6]  # no close limits for other scripts
+
+
 # ---- near duplicates ----
 
 
