@@ -95,18 +95,12 @@ def _repeat_words(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
-def compression_ratios(data: bytes, packer: zstandard.ZstdCompressor) -> tuple[float, float]:
-    """Compressed share of the whole text, and the median over its fixed chunks.
-
-    The last chunk counts only if it is the sole one or at least half full.
-    """
-    whole = len(packer.compress(data)) / len(data)
-    if len(data) <= CHUNK_BYTES:
-        return whole, whole
-    chunks = [data[i : i + CHUNK_BYTES] for i in range(0, len(data), CHUNK_BYTES)]
-    if len(chunks[-1]) * 2 < CHUNK_BYTES:
-        chunks.pop()
-    return whole, float(np.median([len(packer.compress(c)) / len(c) for c in chunks]))
+def cut(data: bytes) -> list[bytes]:
+    """The text in fixed chunks; a last one under half full is part of the one before."""
+    starts = list(range(0, len(data), CHUNK_BYTES))
+    if len(starts) > 1 and (len(data) - starts[-1]) * 2 < CHUNK_BYTES:
+        starts.pop()
+    return [data[i:j] for i, j in zip(starts, [*starts[1:], len(data)], strict=True)]
 
 
 def structure(data: bytes, whole: float) -> float:
@@ -126,13 +120,11 @@ def other_script(data: bytes) -> bool:
     return int(np.count_nonzero(np.frombuffer(data, np.uint8) & 0xC0 == 0x80)) >= OTHER_SHARE * len(data)
 
 
-def within_bands(data: bytes, whole: float, chunk: float) -> bool:
-    """Whether both shares and the structure lie inside the limits of the text's length band."""
+def within_bands(data: bytes, share: float) -> bool:
+    """Whether the share and the structure of a text, or a chunk, lie inside the limits of its length band."""
     other = other_script(data)
-    low, high, chunk_low, chunk_high = next(b[1:] for b in (OTHER_BANDS if other else BANDS) if len(data) < b[0])
-    if not (low <= whole <= high and chunk_low <= chunk <= chunk_high):
-        return False
-    return other or structure(data, whole) >= next(x[5] for x in LIMITS if len(data) < x[0])
+    low, high = next(b[1:3] for b in (OTHER_BANDS if other else BANDS) if len(data) < b[0])
+    return low <= share <= high and (other or structure(data, share) >= next(x[5] for x in LIMITS if len(data) < x[0]))
 
 
 def judge(text: str | None, packer: zstandard.ZstdCompressor) -> tuple:
@@ -140,16 +132,24 @@ def judge(text: str | None, packer: zstandard.ZstdCompressor) -> tuple:
     text = text or ""
     counts, data = base_counts(text), text.encode()
     failed = counts[0] < 50 or 100 * counts[4] > 50 * counts[0]
-    ratios = compression_ratios(data, packer) if data else (None, None)
-    return *counts, failed, not failed and within_bands(data, *ratios), *ratios
+    if not data:
+        return *counts, failed, False, None, None
+    pieces = {data: len(packer.compress(data)) / len(data)}
+    chunks = cut(data)
+    pieces |= {c: len(packer.compress(c)) / len(c) for c in chunks if c not in pieces}
+    chunk = float(np.median([pieces[c] for c in chunks]))
+    low, high = next(b[3:] for b in (OTHER_BANDS if other_script(data) else BANDS) if len(data) < b[0])
+    kept = not failed and low <= chunk <= high and all(within_bands(c, share) for c, share in pieces.items())
+    return *counts, failed, kept, pieces[data], chunk
 
 
 def compression_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row with the counts, the two ratios and the verdict.
 
     base_failed: under 50 words, or over half of the words lie in repeated 3-word
-    windows. kept: not base_failed, and both compressed shares and the structure
-    within the limits of the length band. A null or blank text has counts of 0, null ratios and is
+    windows. kept: not base_failed, and the compressed share and the structure of
+    the whole text and of every fixed chunk within the limits of its own length
+    band. ratio is the whole text's share, chunk_ratio the chunks' median. A null or blank text has counts of 0, null ratios and is
     base_failed; null ids stay null; repeated rows give repeated rows; other
     columns are not read. Whole texts are used, of any length. No shuffle.
     """

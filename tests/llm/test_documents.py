@@ -203,6 +203,25 @@ def test_bands_reject_encoded_bytes():
     assert judge(" ".join(rng.choice(words) + rng.choice(words) for _ in range(300)), packer)[6]  # no close limits for other scripts
 
 
+def test_every_chunk_is_judged(spark):
+    rng = random.Random(4)
+    packer = zstandard.ZstdCompressor(level=LEVEL, write_checksum=False)
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{x}.parquet") for x in ("documents", "labels"))
+    prose = "\n".join(r["text"] for r in docs.join(labels.where("quality = 1"), "doc_id").where("lang = 'en' and n_chars > 3000").orderBy("doc_id").limit(30).collect())
+    line = lambda n: ("Click here to subscribe to our newsletter.\n" * n)[:n]
+    noise = lambda n: " ".join(base64.b64encode(rng.randbytes(45)).decode() for _ in range(n // 60))[:n]
+    keeps = lambda t: judge(t, packer)[6]
+    for n in (4500, 5900, 9000, 13_800, 40_000):
+        assert keeps(prose[:n])
+    for junk in (line, noise):
+        for share in (0.3, 0.45):
+            m = int(40_000 * share)
+            assert not keeps(prose[: 40_000 - m] + "\n" + junk(m))
+            assert not keeps(prose[:9000] + "\n" + junk(m) + "\n" + prose[9000 : 40_000 - m])
+        assert not keeps(prose[:4200] + "\n" + junk(1800))  # one chunk, joined by its tail
+        assert not keeps(prose[:12_288] + "\n" + junk(1900))
+
+
 # ---- near duplicates ----
 
 
