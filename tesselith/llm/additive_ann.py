@@ -14,8 +14,10 @@ from tesselith.llm.common import stored, to_batch
 
 #: Codebooks, words of each, partial sums kept by the encoder, vectors the codebooks are fitted on at most.
 CODEBOOKS, WORDS, BEAM, SAMPLE = 40, 32, 4, 16_384
-#: Candidates reranked for each query; vectors that one scoring task holds; queries it scores at a time.
-RERANK, HELD, QUERIES = 200, 131_072, 256
+#: Candidates a query is first reranked with; vectors and bytes of them that one scoring task holds; queries it scores at a time.
+RERANK, HELD, HELD_BYTES, QUERIES = 200, 131_072, 1 << 26, 256
+#: More than single precision takes from an approximate score.
+SLACK = 1e-5
 
 
 class AdditiveQuantiser:
@@ -79,6 +81,14 @@ class AdditiveQuantiser:
         least = (rest**2).sum(axis=2).argmin(axis=1)
         return codes[rows[:, 0], least], rest[rows[:, 0], least]
 
+    def likeness(self, x: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The cosine of each unit vector and its sum of words; -1 where that is about zero."""
+        total = np.zeros(x.shape)
+        for book, code in zip(self.books, np.asarray(codes).T, strict=True):
+            total += book[code]
+        norms = np.sqrt((total**2).sum(axis=1))
+        return np.where(norms > 1e-3, (x * total).sum(axis=1) / np.maximum(norms, 1e-3), -1.0)
+
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """Each query's dot product with every word: query, codebook * word."""
         return (queries @ self.books.reshape(-1, self.books.shape[2]).T).astype(np.float32)
@@ -93,6 +103,35 @@ def best_places(scores: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([over, np.flatnonzero(scores == border)[: k - len(over)]])
 
 
+def nearest_held(query: np.ndarray, x: np.ndarray, reps: np.ndarray, near: np.ndarray, like: np.ndarray, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and exact scores of the k nearest of `x`; of equal scores the smaller reps.
+
+    A vector at angle t from its sum of words (`like` is the cosine of t) is no
+    nearer to the query than the sum's own angle less t. The `rerank` best by that
+    bound are scored exactly, then, in growing blocks, all whose bound reaches the
+    k-th exact score so far.
+    """
+    near = np.clip(near.astype(np.float64) + SLACK, -1.0, 1.0)
+    bound = np.where(near < like, near * like + np.sqrt((1 - near**2) * np.maximum(1 - like**2, 0.0)), 1.0) + SLACK
+    at = best_places(near, max(rerank, k))
+    scores = (x[at] * query).sum(axis=1)
+
+    def first(at: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((reps[at], -scores))[:k]
+        return at[order], scores[order]
+
+    bound[at] = -2.0  # scored
+    at, scores = first(at, scores)
+    more = np.flatnonzero(bound >= max(scores[-1], -1.5))
+    more = more[np.argsort(-bound[more], kind="stable")]
+    i, step = 0, rerank
+    while i < len(more) and bound[more[i]] >= scores[-1]:
+        part = more[i : i + step]
+        at, scores = first(np.concatenate([at, part]), np.concatenate([scores, (x[part] * query).sum(axis=1)]))
+        i, step = i + step, min(2 * step, 8192)
+    return at, scores
+
+
 def _clean(df: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, np.dtype]:
     """vec_id and the vector's bytes, of the rows that take part."""
     element = df.schema[vec_col].dataType.elementType
@@ -114,10 +153,15 @@ def _clean(df: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, np.dtyp
     return rows.where(F.octet_length("vec") == (sizes["size"] if sizes else 0)), kind
 
 
-def _unit(column: pa.Array, kind: np.dtype) -> np.ndarray:
-    x = np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1).astype(np.float64)
+def _exact_unit(vecs: list[bytes], kind: np.dtype) -> np.ndarray:
+    x = np.frombuffer(b"".join(vecs), kind).reshape(len(vecs), -1).astype(np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)  # keeps squares finite
-    return (x / np.sqrt((x**2).sum(axis=1, keepdims=True))).astype(np.float32)
+    x /= np.sqrt((x**2).sum(axis=1, keepdims=True))
+    return x
+
+
+def _unit(column: pa.Array, kind: np.dtype) -> np.ndarray:
+    return _exact_unit(column.to_pylist(), kind).astype(np.float32)
 
 
 def nearest_neighbours(df: DataFrame, every: int = 50, k: int = 5, rerank: int = RERANK, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -129,9 +173,11 @@ def nearest_neighbours(df: DataFrame, every: int = 50, k: int = 5, rerank: int =
     Equal vectors are one candidate with their k + 1 smallest ids, found with a
     limit before the shuffle, so copies do not crowd others out. The quantiser is
     fitted on SAMPLE distinct vectors at most (drawn by hash); every distinct
-    vector is encoded. Scoring tasks hold HELD vectors' codes each and stream the
-    query blocks past them; each gives a query's `rerank` best, the best of all
-    tasks are scored exactly. Work is queries times rows, in table look-ups.
+    vector is encoded. Scoring tasks hold HELD vectors each, with their codes, and
+    stream the query blocks past them; each gives a query's nearest of its own,
+    scored exactly: the `rerank` best by table look-ups, and all others that the
+    error of their codes does not exclude. Nothing near is lost, however many near
+    copies there are; those cost exact scores. Work is queries times rows.
 
     Null ids and vectors that are null, empty, zero or have a null or non-finite
     component take no part, nor do vectors of another dimension than the most
@@ -150,27 +196,31 @@ def nearest_neighbours(df: DataFrame, every: int = 50, k: int = 5, rerank: int =
     if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     quantiser = spark.sparkContext.broadcast(AdditiveQuantiser.fit(_unit(sample, kind)))
-    tasks = max(-(-count // HELD), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // 2048)))
+    wide = len(sample[0].as_py()) // kind.itemsize
+    tasks = max(-(-count // max(min(HELD, HELD_BYTES // (8 * wide)), 1)), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // 2048)))
 
-    # kind 0: a candidate's code; kind 1: a block of queries, for every task
-    row = pa.schema([("task", pa.int32()), ("kind", pa.int32()), ("id", pa.int64()), ("data", pa.binary()), ("norm", pa.float32())])
-    row_ddl = "task int, kind int, id long, data binary, norm float"
+    # kind 0: a candidate's code, vector and likeness; kind 1: a block of queries, for every task
+    row = pa.schema([("task", pa.int32()), ("kind", pa.int32()), ("id", pa.int64()), ("data", pa.binary()), ("vec", pa.binary()), ("norm", pa.float32()), ("like", pa.float64())])
+    row_ddl = "task int, kind int, id long, data binary, vec binary, norm float, like double"
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes, norms = quantiser.value.encode(_unit(batch.column("vec"), kind)) if len(batch) else ((), ())
-            yield to_batch({"task": batch.column("task"), "kind": np.zeros(len(batch), np.int32), "id": batch.column("rep"), "data": [c.tobytes() for c in np.asarray(codes, np.uint8)], "norm": np.asarray(norms, np.float32)}, row)
+            if not len(batch):
+                continue
+            x = _unit(batch.column("vec"), kind)
+            codes, norms = quantiser.value.encode(x)
+            yield to_batch({"task": batch.column("task"), "kind": np.zeros(len(batch), np.int32), "id": batch.column("rep"), "data": [c.tobytes() for c in np.asarray(codes, np.uint8)], "vec": batch.column("vec"), "norm": np.asarray(norms, np.float32), "like": quantiser.value.likeness(x, codes)}, row)
 
     def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, len(batch), QUERIES):
                 part = batch.slice(i, QUERIES)
-                data = np.asarray(part.column("query_id")).tobytes() + _unit(part.column("vec"), kind).tobytes()
-                yield to_batch({"task": [0], "kind": [1], "id": [len(part)], "data": [data], "norm": [0.0]}, row)
+                data = np.asarray(part.column("query_id")).tobytes() + _exact_unit(part.column("vec").to_pylist(), kind).tobytes()
+                yield to_batch({"task": [0], "kind": [1], "id": [len(part)], "data": [data], "vec": [None], "norm": [0.0], "like": [0.0]}, row)
 
     index = distinct.select(F.pmod(F.xxhash64("rep"), F.lit(tasks)).cast("int").alias("task"), "rep", "vec").mapInArrow(encode, row_ddl)
-    asked = queries.mapInArrow(blocks, row_ddl).withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)))).select("task", "kind", "id", "data", "norm")
-    found_schema = pa.schema([("query_id", pa.int64()), ("reps", pa.list_(pa.int64())), ("scores", pa.list_(pa.float32()))])
+    asked = queries.mapInArrow(blocks, row_ddl).withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)))).select("task", "kind", "id", "data", "vec", "norm", "like")
+    found_schema = pa.schema([("query_id", pa.int64()), ("reps", pa.list_(pa.int64())), ("scores", pa.list_(pa.float64()))])
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, task, held, index_ = quantiser.value, None, [], None
@@ -180,52 +230,34 @@ def nearest_neighbours(df: DataFrame, every: int = 50, k: int = 5, rerank: int =
                 if row_["task"] != task:
                     task, held, index_ = row_["task"], [], None
                 if row_["kind"] == 0:
-                    held.append((row_["id"], row_["data"], row_["norm"]))
+                    held.append((row_["id"], row_["data"], row_["norm"], row_["vec"], row_["like"]))
                     continue
                 if not held and index_ is None:
                     continue
                 if index_ is None:
                     codes = np.frombuffer(b"".join(x[1] for x in held), np.uint8).reshape(len(held), -1).astype(np.int64) + np.arange(own.books.shape[0]) * words
-                    index_ = np.array([x[0] for x in held]), np.ascontiguousarray(codes.T), np.array([x[2] for x in held], np.float32)
+                    index_ = np.array([x[0] for x in held]), np.ascontiguousarray(codes.T), np.array([x[2] for x in held], np.float32), _exact_unit([x[3] for x in held], kind), np.array([x[4] for x in held])
                     held = []
-                reps, codes, norms = index_
+                reps, codes, norms, exact, like = index_
                 n = row_["id"]
                 ids = np.frombuffer(row_["data"][: 8 * n], np.int64)
-                tables = own.tables(np.frombuffer(row_["data"][8 * n :], np.float32).reshape(n, -1))
+                asked_ = np.frombuffer(row_["data"][8 * n :], np.float64).reshape(n, -1)
                 best, values = [], []
-                for table in tables:
+                for query, table in zip(asked_, own.tables(asked_.astype(np.float32)), strict=True):
                     got = table[codes[0]]
                     for c in codes[1:]:
                         got += table[c]
                     got /= np.maximum(norms, 1e-12)
-                    at = best_places(got, rerank)
+                    at, scores = nearest_held(query, exact, reps, got, like, k + 1, rerank)
                     best.append(reps[at])
-                    values.append(got[at])
+                    values.append(scores)
                 yield to_batch({"query_id": ids, "reps": best, "scores": values}, found_schema)
 
     held_rows = index.unionByName(asked).repartition(tasks, "task").sortWithinPartitions("task", "kind", "id")
-    found = held_rows.mapInArrow(score, "query_id long, reps array<long>, scores array<float>")
-    pair_schema = pa.schema([("query_id", pa.int64()), ("rep", pa.int64())])
-
-    def merge(table: pa.Table) -> pa.Table:
-        reps, scores = (np.asarray(table.column(c).combine_chunks().flatten()) for c in ("reps", "scores"))
-        order = np.argsort(reps, kind="stable")
-        best = reps[order][best_places(scores[order], rerank)]
-        return pa.table([pa.array(np.full(len(best), table.column("query_id")[0].as_py())), pa.array(best)], schema=pair_schema)
-
-    pairs = found.groupBy("query_id").applyInArrow(merge, "query_id long, rep long")
-    joined = pairs.join(distinct, "rep").select("query_id", "ids", F.col("vec").alias("other")).join(queries, "query_id")
-    exact_schema = pa.schema([("query_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("score", pa.float64())])
-
-    def exact(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), kind).reshape(len(batch), -1).astype(np.float64) for c in ("vec", "other"))
-            a, b = (x / np.abs(x).max(axis=1, keepdims=True) for x in (a, b))
-            cosine = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
-            yield to_batch({"query_id": batch.column("query_id"), "ids": batch.column("ids"), "score": cosine}, exact_schema)
-
-    scored = joined.select("query_id", "vec", "other", "ids").mapInArrow(exact, "query_id long, ids array<long>, score double")
+    found = held_rows.mapInArrow(score, "query_id long, reps array<long>, scores array<double>")
+    pairs = found.select("query_id", F.explode(F.arrays_zip("reps", "scores")).alias("x")).select("query_id", F.col("x.reps").alias("rep"), F.col("x.scores").alias("score"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "rep")
+    pairs = pairs.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return scored.select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id != query_id").withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    scored = pairs.join(distinct.select("rep", "ids"), "rep").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id != query_id")
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

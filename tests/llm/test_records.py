@@ -125,6 +125,15 @@ def test_many_copies_do_not_crowd_out_others(spark):
     assert compare(got, brute(rows, 50, 5)) >= 0.95
 
 
+def test_many_near_copies_lose_nothing(spark):
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=64)
+    x = rng.normal(size=(4000, 64))
+    x[::2] = centre + rng.normal(size=(2000, 64)) * 0.1
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)]
+    assert compare(nearest_neighbours(vectors(spark, rows)).collect(), brute(rows, 50, 5)) == 1
+
+
 def test_vectors_that_take_no_part(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (50, [0.0, 2.0]), (2, None), (100, [0.0, 0.0]), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (None, [1.0, 0.0]), (6, []), (7, [1.0, 2.0, 3.0]), (1, [1.0, 1.0]), (8, [1e200, 1e200])]
     valid = [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (50, [0.0, 2.0]), (8, [1.0, 1.0])]
