@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesselith.llm.common import join_counted, release, remove, steps, stored, to_batch
 from tesselith.llm.components import connected_components
 
 #: A size band reaches to this multiple of its least size.
-BAND_RATIO = 1.3
-#: Parts of a partition of the sketch; a key leaves one part out.
-PARTS = 4
+BAND_RATIO = 1.4
+#: Bands' least sizes, up to sets of 10 ** 12 shingles.
+LARGEST = 10**12
+#: A set leaves out its SPARE_SHARE of the largest difference, plus one, of keys that most sets have.
+SPARE_SHARE = 0.1
+#: A key's number of sets is counted as far as this.
+FREQUENT = 64
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -88,19 +93,22 @@ def _combined(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 class Bands:
-    """Size bands, and for each the number of sketch partitions that the threshold asks for.
+    """Size bands, and for each the parts of the sketch that the threshold asks for.
 
     Sets of sizes a and b link when per * |both| >= part * |either|, so their
     symmetric difference is (per - part) / (per + part) * (a + b) at most.
     """
 
-    def __init__(self, part: int, per: int, largest: int):
+    def __init__(self, part: int, per: int):
         self.part, self.per = part, per
         self.lows = [1]
-        while self.lows[-1] <= largest:
+        while self.lows[-1] <= LARGEST:
             self.lows.append(max(self.lows[-1] + 1, int(self.lows[-1] * BAND_RATIO)))
         #: The largest symmetric difference of a linked pair whose smaller set is in the band.
         self.most = [(per - part) * (top + top * per // part) // (per + part) for top in (x - 1 for x in self.lows[1:])]
+        #: Shared keys that each of the two sets may leave out, and the pair is found still.
+        self.spare = [int(SPARE_SHARE * d) + 1 for d in self.most]
+        self.known: dict[int, tuple[int, int]] = {}
 
     def band(self, n: int) -> int:
         return int(np.searchsorted(self.lows, n, side="right")) - 1
@@ -109,32 +117,54 @@ class Bands:
         """Bands in which a set of n looks for partners: its own, and those of smaller partners."""
         return range(self.band(-(-self.part * n // self.per)), self.band(n) + 1)
 
+    def shape(self, b: int) -> tuple[int, int]:
+        """Parts of the band's sketch, and how many of a set's keys are kept.
 
-def pigeonhole_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
-    """The 64-bit keys of a set; linked sets that are not equal share two at least.
+        A linked pair differs in `most` parts at most. The others number one and
+        the spare ones and the left-out ones, which are so many that few sets have
+        more empty parts (by three deviations of a random set of the least size).
+        """
+        if b not in self.known:
+            kept = self.most[b] + 1 + self.spare[b]
+
+            def enough(left: int) -> bool:
+                empty = (kept + left) * math.exp(-self.lows[b] / (kept + left))
+                return left >= empty + 3 * math.sqrt(empty)
+
+            low, high = 0, 2 * kept + 4
+            while low < high:
+                mid = (low + high) // 2
+                low, high = (low, mid) if enough(mid) else (mid + 1, high)
+            self.known[b] = kept + low, kept
+        return self.known[b]
 
-    In each band the sketch has PARTS words of 64 bits for every partition; a
-    shingle flips one bit, so the sketches of two sets differ in as many bits as
-    their symmetric difference has shingles, at most. With two partitions more
-    than half of that, two partitions differ in one bit at most, so each agrees
-    in all parts but one: a key for each part left out.
+
+def pigeonhole_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
+    """The 64-bit keys of a set, the last byte their band; linked sets that are not equal share over `spare` of one band.
+
+    In each band the sketch has 2 ** 64 bits, of which a shingle flips the one
+    that its hash names, and is cut into parts. The sketches of two sets differ
+    in no more parts than their symmetric difference has shingles. A part is kept
+    as the exclusive or of random numbers of its bits that are set, so equal parts
+    have equal keys. A set leaves out its emptiest keys. That order depends on
+    the keys alone, so of the keys that two sets share, those that either leaves
+    out are the least ones, which one of the two leaves out all by itself: no more
+    than it may.
     """
     out = []
-    high = shingles >> np.uint64(32)
-    bits = np.uint64(1) << (shingles & np.uint64(63))
+    high, bits = shingles >> np.uint64(32), mix(shingles)
     for b in bands.of(len(shingles)):
-        most = bands.most[b]
-        if not most:  # only equal sets link here
+        if not bands.most[b]:  # only equal sets link here
             continue
-        n = most // 2 + 2
-        parts = (high * np.uint64(n * PARTS)) >> np.uint64(32)  # ascending, as the hashes are
+        n, kept = bands.shape(b)
+        parts = ((high * np.uint64(n)) >> np.uint64(32)).astype(np.int64)  # ascending, as the hashes are
         begin = np.flatnonzero(np.append(True, parts[1:] != parts[:-1]))
-        words = np.zeros(n * PARTS, np.uint64)
-        words[parts[begin].astype(np.int64)] = np.bitwise_xor.reduceat(bits, begin)
-        place = np.arange(n * PARTS, dtype=np.uint64)
-        mixed = mix(words ^ mix(place + np.uint64((b + 1) << 40))).reshape(n, PARTS)
-        keys = mixed.sum(axis=1, dtype=np.uint64)[:, None] - mixed
-        out.append(mix(keys.ravel() ^ mix(place + np.uint64((b + 1) << 41))))
+        words, held = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        words[parts[begin]] = np.bitwise_xor.reduceat(bits, begin)
+        held[parts[begin]] = np.minimum(np.diff(np.append(begin, len(parts))), 255)
+        keys = mix(words ^ mix(np.arange(n, dtype=np.uint64) + np.uint64((b + 1) << 40))) >> np.uint64(8)
+        keys |= (np.uint64(255) - held) << np.uint64(56)
+        out.append(np.partition(keys, kept - 1)[:kept] << np.uint64(8) | np.uint64(b))
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
@@ -171,59 +201,80 @@ def may_link(a_size, b_size, differ, part: int, per: int):
     return (per * np.minimum(a_size, b_size) >= part * np.maximum(a_size, b_size)) & ((per + part) * differ <= (per - part) * total)
 
 
-#: Members of a family that are compared at a time; a larger one is compared piece by piece.
-PIECE = 4096
-#: Bytes of text whose keys a task makes at a time, and documents for which keys get a partition.
-KEY_STEP, KEY_DOCS = 1 << 20, 2000
+#: Members of a family, and bytes of their sketches, that are compared at a time; a larger one is compared piece by piece.
+PIECE, PIECE_BYTES = 4096, 1 << 26
+#: Bytes of text whose keys a task makes at a time, keys among which it looks for frequent ones, and documents for which keys get a partition.
+KEY_STEP, KEY_BLOCK, KEY_DOCS = 1 << 20, 1 << 21, 8000
+#: Sets that a task remembers to have made keys for.
+SEEN = 200_000
 #: Ids of documents whose sets are fetched by broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: A row is a document (doc, digest, n, sketch) or a class in a run of equal keys (pivot: its first class; whether it has more than two).
-#: A class of equal sets goes by the first five bytes of its digest; joins by it may find two, never none.
-#: Keys keep their upper 48 bits, and the zeros around both make the shuffle smaller.
-ROWS = "pivot long, large boolean, class long, doc long, digest binary, n long, sketch binary"
-ROW_SCHEMA = pa.schema([("pivot", pa.int64()), ("large", pa.bool_()), ("class", pa.int64()), ("doc", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("sketch", pa.binary())])
-KEY_MASK = np.uint64((1 << 64) - (1 << 16))
+#: A row is a document (doc, mark, digest, n, sketch) or a class that has a key with others (key, frequent: the classes that have it, FREQUENT at most).
+#: A class of equal sets goes by the first eight bytes of its digest; two that share them are joined as two.
+ROWS = "key long, frequent int, class long, doc long, mark long, digest binary, n long, sketch binary"
+ROW_SCHEMA = pa.schema([("key", pa.int64()), ("frequent", pa.int32()), ("class", pa.int64()), ("doc", pa.int64()), ("mark", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("sketch", pa.binary())])
 KEY_SCHEMA = pa.schema([("key", pa.int64()), ("value", pa.int64()), ("extra", pa.binary())])
 
 
+def _spread(n: int, seed: int) -> np.ndarray:
+    """Keys of rows that may go to any task."""
+    return mix(np.arange(n, dtype=np.uint64) + np.uint64(abs(seed))).view(np.int64)
+
+
+def _key_rows(keys: list[np.ndarray], classes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Rows of a block of keys; of a key that is frequent already here, those beyond FREQUENT skip the sort, with the key in `extra`."""
+    k, c = np.concatenate(keys).view(np.int64), np.concatenate(classes)
+    order = np.lexsort((c, k))
+    k, c = k[order], c[order]
+    fresh = np.append(True, (k[1:] != k[:-1]) | (c[1:] != c[:-1]))
+    k, c = k[fresh], c[fresh]
+    start = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+    size = np.diff(np.append(start, len(k)))
+    beyond = np.arange(len(k)) - np.repeat(start, size) >= FREQUENT
+    if beyond.any():
+        yield to_batch({"key": _spread(int(beyond.sum()), int(c[0])), "value": c[beyond], "extra": [x.tobytes() for x in k[beyond]]}, KEY_SCHEMA)
+        k, c = k[~beyond], c[~beyond]
+    for j in range(0, len(k), 1 << 18):
+        yield to_batch({"key": k[j : j + (1 << 18)], "value": c[j : j + (1 << 18)], "extra": pa.nulls(len(k[j : j + (1 << 18)]), pa.binary())}, KEY_SCHEMA)
+
+
 def _keys(size: int, part: int, per: int):
-    """Documents to key rows, and a row with everything else in `extra`; equal sets have keys once a task."""
+    """Documents to key rows, and a row with everything else in `extra`; equal sets have keys once a task, mostly."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, seen, row = Bands(part, per, 1), set(), 0
+        bands, seen, held, keys, values = Bands(part, per), set(), 0, [], []
         for batch in batches:
             for piece in steps(batch, "text", KEY_STEP):
                 ids, sets = piece.column("doc").to_pylist(), shingle_sets(piece.column("text").to_pylist(), size)
-                largest = max(map(len, sets))
-                if bands.lows[-1] <= largest:
-                    bands = Bands(part, per, 2 * largest)
-                keys, values, extra = [], [], []
-                for i, x in zip(ids, sets, strict=True):
+                marks, extra = piece.column("mark").to_numpy(), []
+                for i, x, mark in zip(ids, sets, marks, strict=True):
                     digest = xxhash.xxh3_128_digest(x.tobytes())
-                    extra.append(digest + len(x).to_bytes(8, "little") + (parity_sketch(x).tobytes() if len(x) else b""))
+                    extra.append(digest + len(x).to_bytes(8, "little") + mark.tobytes() + (parity_sketch(x).tobytes() if len(x) else b""))
                     if i is not None and len(x) and digest not in seen:
                         seen.add(digest)
                         keys.append(pigeonhole_keys(x, bands))
-                        values.append(np.full(len(keys[-1]), int.from_bytes(digest[:5], "big")))
+                        values.append(np.full(len(keys[-1]), int.from_bytes(digest[:8], "big", signed=True)))
+                        held += len(keys[-1])
                 # documents go to any task: they are only written there
-                spread = mix(np.arange(row, row + len(ids), dtype=np.uint64) + np.uint64(abs(hash(ids[0]))))
-                row += len(ids)
-                yield to_batch({"key": spread.view(np.int64), "value": pa.array(ids, pa.int64()), "extra": extra}, KEY_SCHEMA)
-                if keys:
-                    k, v = (np.concatenate(keys) & KEY_MASK).view(np.int64), np.concatenate(values)
-                    for j in range(0, len(k), 1 << 18):
-                        yield to_batch({"key": k[j : j + (1 << 18)], "value": v[j : j + (1 << 18)], "extra": pa.nulls(len(k[j : j + (1 << 18)]), pa.binary())}, KEY_SCHEMA)
+                yield to_batch({"key": _spread(len(ids), hash((ids[0], len(ids)))), "value": pa.array(ids, pa.int64()), "extra": extra}, KEY_SCHEMA)
+                if len(seen) > SEEN:
+                    seen.clear()
+                if held >= KEY_BLOCK:
+                    yield from _key_rows(keys, values)
+                    held, keys, values = 0, [], []
+        if held:
+            yield from _key_rows(keys, values)
         release()
 
     return run
 
 
 def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted key rows to the members of runs of two classes or more, a batch at a time; document rows pass through."""
+    """Sorted key rows to the members of runs of two classes or more, with the run's size as far as FREQUENT; other rows pass through."""
     none = np.empty(0, np.int64)
-    held = none, none  # a run of one or two so far, not given out
+    held = none, none  # a run of less than FREQUENT so far, not given out
     last: tuple | None = None  # the last row, for a class has rows of several tasks
-    run: tuple | None = None  # a longer run that has been given out so far: key, first class
+    long: int | None = None  # the key of a longer run, of which a part has been given out
     blank = {f.name: f.type for f in ROW_SCHEMA}
 
     def rows(**columns) -> pa.RecordBatch:
@@ -231,34 +282,39 @@ def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return to_batch({c: pa.nulls(n, t) for c, t in blank.items()} | columns, ROW_SCHEMA)
 
     for batch in batches:
-        is_doc = batch.column("extra").is_valid()
-        own, rest = batch.filter(is_doc), batch.filter(pc.invert(is_doc))
+        plain = batch.column("extra").is_null()
+        own, rest = batch.filter(pc.invert(plain)), batch.filter(plain)
         if len(own):
+            beyond = pc.equal(pc.binary_length(own.column("extra")), 8)
+            skipped, own = own.filter(beyond), own.filter(pc.invert(beyond))
+            if len(skipped):
+                yield rows(key=np.frombuffer(b"".join(skipped.column("extra").to_pylist()), np.int64), frequent=np.full(len(skipped), FREQUENT, np.int32), **{"class": skipped.column("value")})
             data = own.column("extra").to_pylist()
-            yield rows(doc=own.column("value"), digest=[x[:16] for x in data], n=[int.from_bytes(x[16:24], "little") for x in data], sketch=[x[24:] for x in data])
+            if data:
+                sizes = np.frombuffer(b"".join(x[16:32] for x in data), np.int64).reshape(-1, 2)
+                yield rows(doc=own.column("value"), mark=sizes[:, 1], digest=[x[:16] for x in data], n=sizes[:, 0], sketch=[x[32:] for x in data])
         if not len(rest):
             continue
-        k, d = rest.column("key").to_numpy(), rest.column("value").to_numpy()
-        fresh = np.append((k[0], d[0]) != last, (k[1:] != k[:-1]) | (d[1:] != d[:-1]))
-        last = k[-1], d[-1]
-        k, d = np.append(held[0], k[fresh]), np.append(held[1], d[fresh])
+        k, c = rest.column("key").to_numpy(), rest.column("value").to_numpy()
+        fresh = np.append((k[0], c[0]) != last, (k[1:] != k[:-1]) | (c[1:] != c[:-1]))
+        last = k[-1], c[-1]
+        k, c = np.append(held[0], k[fresh]), np.append(held[1], c[fresh])
         if not len(k):
             continue
         start = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
         size = np.diff(np.append(start, len(k)))
-        pivot, total = d[start].copy(), size.copy()
-        if run is not None and k[0] == run[0]:
-            pivot[0], total[0] = run[1], 3 + size[0]
-        keep = total > 1
-        if total[-1] < 3:
-            held, run, keep[-1] = (k[start[-1] :], d[start[-1] :]), None, False
+        size[0] += FREQUENT if k[0] == long else 0
+        keep = size > 1
+        if size[-1] < FREQUENT:
+            held, long, keep[-1] = (k[start[-1] :], c[start[-1] :]), None, False
         else:
-            held, run = (none, none), (k[-1], pivot[-1])
-        given = np.repeat(keep, size)
+            held, long = (none, none), k[-1]
+        lengths = np.diff(np.append(start, len(k)))
+        given = np.repeat(keep, lengths)
         if given.any():
-            yield rows(pivot=np.repeat(pivot, size)[given], large=np.repeat(total > 2, size)[given], **{"class": d[given]})
-    if len(held[0]) == 2:
-        yield rows(pivot=held[1][[0, 0]], large=np.zeros(2, bool), **{"class": held[1]})
+            yield rows(key=k[given], frequent=np.minimum(np.repeat(size, lengths)[given], FREQUENT).astype(np.int32), **{"class": c[given]})
+    if len(held[0]) > 1:
+        yield rows(key=held[0], frequent=np.full(len(held[0]), len(held[0]), np.int32), **{"class": held[1]})
 
 
 def _sketches(column: pa.Array) -> list[np.ndarray]:
@@ -280,50 +336,63 @@ def _by_sketch(part: int, per: int):
 
 
 def _across(part: int, per: int):
-    """Members sorted by (family, i, j) to the pairs of a family, of different components, that may link."""
+    """Members sorted by (pivot, i, j) to the pairs of a family, of different components, that may link."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def pairs(rows: list[dict]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        apart = rows[0]["i"] != rows[0]["j"]
-        words = min(len(r["sketch"]) for r in rows) // 8
-        sketch = np.stack([fold(np.frombuffer(r["sketch"], np.uint64), words) for r in rows])
-        rep, comp, n, piece = (np.array([r[c] for r in rows], np.int64) for c in ("rep", "component", "n", "piece"))
-        for i in range(len(rows) - 1):
-            others = slice(i + 1, None)
-            keep = comp[others] != comp[i]
-            if apart:
-                keep &= piece[others] != piece[i]
-            if keep.any():
-                keep &= may_link(n[i], n[others], np.bitwise_count(sketch[i] ^ sketch[others]).sum(axis=1).astype(np.int64), part, per)
-                to = rep[others][keep]
-                yield np.minimum(to, rep[i]), np.maximum(to, rep[i])
-
-    def found(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        got = [np.stack(x) for x in pairs(rows) if len(x[0])] if len({r["component"] for r in rows}) > 1 else []
+    def found(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        own_class, comp, n, piece = (rows.column(c).to_numpy() for c in ("class", "component", "n", "piece"))
+        label, of, members = np.unique(comp, return_inverse=True, return_counts=True)
+        if len(label) < 2:
+            return
+        # members of the largest component meet the others only, so these are gone through
+        place = np.argsort(-members, kind="stable").argsort(kind="stable")[of]
+        apart = rows.column("i")[0].as_py() != rows.column("j")[0].as_py()
+        sketch = _sketches(rows.column("sketch"))
+        words = np.array(list(map(len, sketch)))
+        groups = {}  # words, and members with so many: their numbers, their sketches
+        for w in np.unique(words).tolist():
+            at = np.flatnonzero(words == w)
+            groups[w] = at, np.stack([sketch[x] for x in at])
+        got = []
+        for x in np.flatnonzero(place > 0).tolist():
+            for w, (at, own) in groups.items():
+                near = (place[at] < place[x]) & (per * np.minimum(n[at], n[x]) >= part * np.maximum(n[at], n[x]))
+                if apart:
+                    near &= piece[at] != piece[x]
+                if near.any():
+                    shorter = min(w, len(sketch[x]))
+                    differ = np.bitwise_count(fold(sketch[x], shorter) ^ fold(own[near], shorter)).sum(axis=1).astype(np.int64)
+                    to = own_class[at[near][may_link(n[x], n[at[near]], differ, part, per)]]
+                    got.append(np.stack([np.minimum(to, own_class[x]), np.maximum(to, own_class[x])]))
         if got:
             a, b = np.unique(np.concatenate(got, axis=1), axis=1)
             yield to_batch({"a": a, "b": b}, schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, rows = None, []
+        last, held = None, []
         for batch in batches:
-            for r in batch.to_pylist():
-                if (r["family"], r["i"], r["j"]) != group:
-                    if rows:
-                        yield from found(rows)
-                    group, rows = (r["family"], r["i"], r["j"]), []
-                rows.append(r)
-        if rows:
-            yield from found(rows)
+            names = [batch.column(c).to_numpy() for c in ("pivot", "i", "j")]
+            cuts = [0, *(np.flatnonzero(np.any([x[1:] != x[:-1] for x in names], axis=0)) + 1).tolist(), len(batch)]
+            for begin, end in zip(cuts, cuts[1:]):
+                group = tuple(int(x[begin]) for x in names) if end > begin else last
+                if group != last and held:
+                    yield from found(pa.Table.from_batches(held).combine_chunks())
+                    held = []
+                last = group
+                if end > begin:
+                    held.append(batch.slice(begin, end - begin))
+        if held:
+            yield from found(pa.Table.from_batches(held).combine_chunks())
 
     return run
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size: int, part: int, per: int) -> DataFrame:
-    """The pairs (a, b of class representatives) whose whole sets link."""
+    """The pairs (a, b: classes) whose whole sets link."""
     spark = pairs.sparkSession
-    reps, path = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "parity-verified")
-    wanted = F.broadcast(reps) if reps.count() <= BROADCAST_IDS else reps
+    named = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    wanted, path = stored(named.join(classes.select("class", "rep", "digest"), "class").withColumnRenamed("rep", "doc"), "parity-verified")
+    ids = wanted.select("doc").distinct()
     set_schema = pa.schema([("doc", pa.int64()), ("digest", pa.binary()), ("set", pa.binary())])
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,9 +401,9 @@ def _verify(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size: int, p
                 own = [x.tobytes() for x in shingle_sets(piece.column("text").to_pylist(), size)]
                 yield to_batch({"doc": piece.column("doc"), "digest": [xxhash.xxh3_128_digest(x) for x in own], "set": own}, set_schema)
 
-    # an id that several texts have stands for the class of which it is the representative
-    own = classes.select(F.col("rep").alias("doc"), "digest").join(wanted, "doc")
-    known, sets_path = stored(texts.join(wanted, "doc").mapInArrow(sets, "doc long, digest binary, set binary").join(own, ["doc", "digest"]).select("doc", "set"), "parity-sets")
+    # an id may have several texts, of which the classes are told by digest; a text may be there several times
+    read = texts.select("doc", "text").join(F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids, "doc").mapInArrow(sets, "doc long, digest binary, set binary")
+    known, sets_path = stored(read.join(wanted, ["doc", "digest"]).select("class", "set"), "parity-sets")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def test(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,76 +412,127 @@ def _verify(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size: int, p
             keep = pa.array([linked(p, q, part, per) for p, q in zip(x, y, strict=True)], pa.bool_())
             yield to_batch({c: batch.column(c).filter(keep) for c in "ab"}, schema)
 
-    first = pairs.join(known.select(F.col("doc").alias("a"), F.col("set").alias("a_set")), "a")
-    both = first.join(known.select(F.col("doc").alias("b"), F.col("set").alias("b_set")), "b")
+    first = pairs.join(known.select(F.col("class").alias("a"), F.col("set").alias("a_set")), "a")
+    both = first.join(known.select(F.col("class").alias("b"), F.col("set").alias("b_set")), "b")
     out, _ = stored(both.select("a", "b", "a_set", "b_set").mapInArrow(test, "a long, b long").distinct(), "parity-links")
     for p in (path, sets_path):
         remove(spark, p)
     return out
 
 
-def jaccard_components(df: DataFrame, size: int = 5, part: int = 80, per: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id.
+def linked_classes(df: DataFrame, size: int, part: int, per: int, id_col: str, text_col: str, one_per_id: bool) -> tuple[DataFrame, DataFrame]:
+    """Two stored tables: documents, a row per input row (doc, mark, n, digest), and classes, one per different set that is not empty.
 
-    Two documents link when per * |shared shingles| >= part * |all shingles|, of
-    `size` words each; component_id is the smallest doc_id reachable by links,
-    the document's own included.
+    Classes have digest, class (its number), copies and component, the least class
+    that links reach. With `one_per_id`, the classes of one id are linked as well.
+    `mark` is a hash of the text.
 
     1. One pass over the texts gives every document's size, digest and sketch,
        and the pigeonhole keys of its set (once a task for equal sets). Keys are
        shuffled and sorted; runs of two classes or more are kept. Equal sets are
-       one class, by its smallest doc_id.
-    2. Each member of a run is paired with the run's first. Linked sets share two
-       keys, so a pair that shares but one and is in no larger run is none. Sizes
-       and sketches (a lower bound of the symmetric difference) exclude most of
-       the rest, whole sets decide.
-    3. Members of larger runs whose firsts are in one component are a family; one
-       that holds several components gives its pairs across them, past the same
-       bound, to the same test, a large one piece against piece. So every linked
-       pair is in one component or has been tested, without all pairs of a group
-       being given out.
-
-    A text without words, or null, has no shingles and links with nothing; a null
-    id has a null component and links with nothing; rows that repeat an id share
-    its component; repeated rows give repeated rows; an empty table gives none;
-    other columns are not read. Texts must be repeatable (a stored table).
+       one class.
+    2. Linked sets share more than `spare` keys of a band, so each class leaves out
+       that many of its keys, those that most classes have: one shared key remains.
+       Classes with no more shared keys than that fall out altogether.
+    3. Each member of a remaining run is paired with the run's first. Sizes and
+       sketches (a lower bound of the symmetric difference) exclude most pairs,
+       whole sets decide.
+    4. Members of the runs that have one first are a family; one that holds several
+       components gives its pairs across them, past the same bound, to the same
+       test, a large one piece against piece. So every linked pair is in one
+       component or has been tested, without all pairs of a group being given out.
     """
     spark = df.sparkSession
-    texts = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    bands = Bands(part, per)
+    text = F.col(text_col).cast("string")
+    texts = df.select(F.col(id_col).cast("long").alias("doc"), text.alias("text"), F.xxhash64(text).alias("mark"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = texts.mapInArrow(_keys(size, part, per), "key long, value long, extra binary")
     parts = max(n, -(-texts.count() // KEY_DOCS))
     rows, _ = stored(keyed.repartition(parts, "key").sortWithinPartitions("key", "value").mapInArrow(_runs, ROWS), "parity-rows")
-    light, members = rows.where("n is not null").select("doc", "digest", "n", "sketch"), rows.where("large is not null").select("pivot", "class", "large")
+    light = rows.where("n is not null")
     filled = light.where("n > 0 and doc is not null")
-    number = F.conv(F.hex(F.substring("digest", 1, 5)), 16, 10).cast("long")
+    number = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")
     classes, _ = stored(filled.groupBy("digest").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).withColumn("class", number), "parity-classes")
-    docs = join_counted(filled.select("doc", "digest"), classes.select("digest", "rep", "copies"), "digest", "copies", filled.count()).select("doc", "rep").distinct()
-
-    side = lambda c: classes.select(F.col("class").alias(c), F.col("rep").alias(f"{c}_rep"), F.col("n").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_sketch"))
-    # one row per (first, member); a pair that shares but one key, in a run of two, links only if both are in larger runs too
-    joined, _ = stored(members.groupBy(F.col("pivot").alias("p"), F.col("class").alias("q")).agg(F.count(F.lit(1)).alias("shared"), F.max("large").alias("large")), "parity-members")
-    busy = joined.where("large").select(F.explode(F.array("p", "q")).alias("class")).distinct()
-    several = joined.where("p != q and (large or shared > 1)").select("p", "q")
-    once = joined.where("p != q and not large and shared = 1").select("p", "q").join(busy.withColumnRenamed("class", "p"), "p", "left_semi").join(busy.withColumnRenamed("class", "q"), "q", "left_semi")
-    stars = several.unionByName(once).join(side("p"), "p").join(side("q"), "q").where("p_rep != q_rep")
-    ordered = stars.select(*[F.when(F.col("p_rep") < F.col("q_rep"), F.col(f"{x}{c}")).otherwise(F.col(f"{y}{c}")).alias(to) for x, y, s in (("p", "q", "a"), ("q", "p", "b")) for c, to in (("_rep", s), ("_n", f"{s}_n"), ("_sketch", f"{s}_sketch"))])
-    tried, _ = stored(ordered.mapInArrow(_by_sketch(part, per), "a long, b long").distinct(), "parity-pairs")
+
+    # each class without the keys that most classes have
+    band = F.col("key").bitwiseAND(255).cast("int")
+    order = Window.partitionBy("class", "band").orderBy(F.desc("frequent"), "key")
+    spare = F.element_at(F.array(*map(F.lit, bands.spare)), F.col("band") + 1)
+    shared, shared_path = stored(rows.where("key is not null").select("key", "frequent", "class", band.alias("band")).withColumn("place", F.dense_rank().over(order)).where(F.col("place") > spare).select("key", "class"), "parity-shared")
+    runs, runs_path = stored(shared.groupBy("key").agg(F.min("class").alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1"), "parity-runs")
+    members, members_path = stored(join_counted(shared, runs, "key", "members", shared.count()).select("pivot", "class").distinct(), "parity-members")
+
+    side = lambda c: classes.select(F.col("class").alias(c), F.col("n").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_sketch"))
+    stars = members.where("pivot != class").select(F.col("pivot").alias("a"), F.col("class").alias("b")).join(side("a"), "a").join(side("b"), "b")
+    tried, _ = stored(stars.select("a", "a_n", "a_sketch", "b", "b_n", "b_sketch").mapInArrow(_by_sketch(part, per), "a long, b long").distinct(), "parity-pairs")
     links = _verify(tried, texts, classes, size, part, per)
+    if one_per_id:
+        first = filled.groupBy("doc").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where("least != most").select("doc")
+        same = filled.join(first, "doc").select("doc", "digest").distinct().join(classes.select("digest", "class"), "digest")
+        own = same.join(same.groupBy("doc").agg(F.min("class").alias("a")), "doc")
+        links = links.unionByName(own.where("a != class").select("a", F.col("class").alias("b")))
     found = connected_components(links)
 
-    labels = classes.select("class", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    # a family: all members of larger runs whose first classes are in one component
-    first = labels.select(F.col("class").alias("p"), F.col("component").alias("family"))
-    placed, placed_path = stored(joined.where("large").select("p", F.col("q").alias("class")).join(first, "p").select("family", "class").distinct().join(labels, "class").select("family", "rep", "component").distinct(), "parity-families")
-    families = placed.groupBy("family").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m")).where("low != high and m > 2").select("family", (F.col("m") / PIECE).cast("int").alias("last"))
-    piece = F.pmod(F.xxhash64("rep"), F.col("last") + 1).cast("int")
-    spread = placed.join(families, "family").withColumn("piece", piece).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last")))).select("family", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"), "rep", "component", "piece").join(classes.select("rep", "n", "sketch"), "rep")
-    across = spread.repartition(n, "family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(_across(part, per), "a long, b long").distinct()
+    # families: the members of runs with one first class, where they lie in several components
+    labels = classes.select("class", F.octet_length("sketch").alias("bytes")).join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    placed, placed_path = stored(members.join(labels, "class"), "parity-families")
+    pieces = F.greatest(F.col("m") / PIECE, F.col("held") / PIECE_BYTES).cast("int")
+    families = placed.groupBy("pivot").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m"), F.sum("bytes").alias("held")).where("low != high and m > 2").select("pivot", "m", pieces.alias("last"))
+    piece = F.pmod(F.xxhash64("class"), F.col("last") + 1)
+    several = join_counted(placed.drop("bytes"), families, "pivot", "m", placed.count()).withColumn("piece", piece).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last")).cast("array<long>")))
+    spread = several.select("pivot", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"), "class", "component", "piece").join(classes.select("class", "n", "sketch"), "class")
+    across = spread.repartition(n, "pivot", "i", "j").sortWithinPartitions("pivot", "i", "j").mapInArrow(_across(part, per), "a long, b long").distinct()
     more, _ = stored(across.join(tried, ["a", "b"], "left_anti"), "parity-pairs")
-    remove(spark, placed_path)
+    for p in (shared_path, runs_path, members_path, placed_path):
+        remove(spark, p)
     if not more.isEmpty():
         found = connected_components(links.unionByName(_verify(more, texts, classes, size, part, per)))
+    whole = classes.select("digest", "class", "copies").join(found.withColumnRenamed("node", "class"), "class", "left")
+    return light.select("doc", "mark", "n", "digest"), whole.withColumn("component", F.coalesce("component", "class"))
+
+
+def jaccard_components(df: DataFrame, size: int = 5, part: int = 80, per: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id.
 
-    by_id = docs.join(found.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
-    return light.select("doc", "n").join(by_id, "doc", "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
+    Two documents link when per * |shared shingles| >= part * |all shingles|, of
+    `size` words each; component_id is the smallest doc_id reachable by links,
+    the document's own included. `linked_classes` says how links are found.
+
+    A text without words, or null, has no shingles and links with nothing; a null
+    id has a null component and links with nothing; rows that repeat an id share
+    its component; repeated rows give repeated rows; an empty table gives none;
+    other columns are not read. Texts must be repeatable (a stored table).
+    """
+    docs, classes = linked_classes(df, size, part, per, id_col, text_col, one_per_id=True)
+    joined = _with_component(docs, classes)
+    by_component, _ = stored(joined.groupBy("component").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("held")), "parity-components")
+    ids = join_counted(joined.select("doc", "component").distinct(), by_component, "component", "held", docs.count()).select("doc", "least").distinct()
+    return docs.join(ids, "doc", "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("least", "doc").alias("component_id"))
+
+
+def _with_component(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Documents with shingles and an id, and the component of their class, stored."""
+    filled = docs.where("n > 0 and doc is not null").select("doc", "mark", "digest")
+    return stored(join_counted(filled, classes, "digest", "copies", filled.count()).select("doc", "mark", "component"), "parity-documents")[0]
+
+
+def keep_one_of_each(df: DataFrame, size: int = 5, part: int = 80, per: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of a table without near duplicates: one of each group that `linked_classes` finds, that of the smallest id.
+
+    A row is judged by its own text: texts that share an id but are not linked
+    both stay, of linked or equal ones the first by hash. A text without words,
+    or null, and a row with a null id are in no group and stay. An empty table
+    gives none. Columns of any name are kept.
+    """
+    docs, classes = linked_classes(df, size, part, per, id_col, text_col, one_per_id=False)
+    joined = _with_component(docs, classes)
+    firsts = joined.groupBy("component").agg(F.min(F.struct("doc", "mark")).alias("first")).select("first.doc", "first.mark")
+    rows = joined.groupBy("doc", "mark").agg(F.count(F.lit(1)).alias("rows"))
+    first, _ = stored(firsts.join(rows, ["doc", "mark"]), "parity-firsts")
+    named = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(text_col).cast("string")).alias("mark"))
+    out = named.join(first.where("rows = 1").select("doc", "mark"), ["doc", "mark"], "left_semi")
+    again = named.join(F.broadcast(first.where("rows > 1").select("doc", "mark")) if first.where("rows > 1").count() <= BROADCAST_IDS else first.where("rows > 1").select("doc", "mark"), ["doc", "mark"], "left_semi").dropDuplicates(["doc", "mark"])
+    loose = docs.where("doc is not null and n = 0").select("doc", "mark").distinct()
+    out = out.unionByName(again).unionByName(named.where("doc is null")).unionByName(named.join(loose, ["doc", "mark"], "left_semi"))
+    return out.select("row.*")

@@ -15,7 +15,7 @@ import corpus_pipeline
 from tesselith.llm.components import connected_components
 from tesselith.llm.compression_quality import BANDS, CHUNK_BYTES, LEVEL, base_counts, compression_quality, filter_quality, judge
 from tesselith.llm.language_id import RANKS, gram_counts, identify_language, learn_profiles, top_grams
-from tesselith.llm.parity_join import Bands, fold, jaccard_components, linked, parity_sketch, pigeonhole_keys, shingle_sets
+from tesselith.llm.parity_join import Bands, fold, jaccard_components, keep_one_of_each, linked, parity_sketch, pigeonhole_keys, shingle_sets
 from tesselith.llm.sharding import best_fit_decreasing, fewest_capacity, shard_documents
 
 DATA = "/root/testdata/sf0.001"
@@ -252,14 +252,16 @@ def test_long_chain_of_links(spark):
 @pytest.mark.parametrize("part", [80, 85])
 def test_linked_sets_share_a_key_and_pass_the_bounds(part):
     rng = np.random.default_rng(part)
-    bands = Bands(part, 100, 3000)
+    bands = Bands(part, 100)
     for _ in range(600):
         n = int(rng.choice([3, 8, 20, 60, 150, 700, 2000]))
         base = rng.integers(0, 2**64, n, dtype=np.uint64)
         a = np.unique(base)
         b = np.unique(np.concatenate([base[rng.random(n) > 0.15 * rng.random()], rng.integers(0, 2**64, int(0.12 * n * rng.random()), dtype=np.uint64)]))
         if len(b) and linked(a, b, part, 100) and len(np.setxor1d(a, b)):
-            assert len(np.intersect1d(pigeonhole_keys(a, bands), pigeonhole_keys(b, bands))) > 1
+            both = np.intersect1d(pigeonhole_keys(a, bands), pigeonhole_keys(b, bands))
+            band = bands.band(min(len(a), len(b)))
+            assert np.sum(both & np.uint64(255) == band) > bands.spare[band]
             x, y = parity_sketch(a), parity_sketch(b)
             words = min(len(x), len(y))
             assert np.bitwise_count(fold(x, words) ^ fold(y, words)).sum() <= len(np.setxor1d(a, b))
@@ -356,6 +358,21 @@ def test_pipeline_stages_on_awkward_rows(spark, awkward, nothing):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, frame, DATA)
             docs.count()
-    kept = corpus_pipeline.near_duplicate_stage(spark, rows, DATA).collect()
-    ids = [r["doc_id"] for r in kept if r["doc_id"] is not None]
-    assert len(ids) == len(set(ids)) and {1, 2, 3, 7} <= set(ids) and 100 not in ids
+    kept = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicate_stage(spark, rows, DATA).collect())
+    texts = {r["doc_id"]: r["text"] for r in rows.collect()}
+    ids = {i for i, _ in kept}
+    assert {1, 2, 3, 4, 7} <= ids and not ids & set(range(100, 105))
+    assert kept[4, texts[4]] == 1 and kept[5, "again"] == 1 and len([1 for i, _ in kept if i == 5]) == 2  # unlike texts of one id
+    assert sum(n for (i, _), n in kept.items() if i is None) == 2
+
+
+def test_one_of_each_group_stays_whatever_columns_are_called(spark):
+    rng = random.Random(5)
+    text = [" ".join(rng.choice("abcdefghij") + str(rng.randrange(50)) for _ in range(60)) for _ in range(3)]
+    rows = [(2, text[0], 0), (1, text[0] + " more", 1), (1, text[1], 2), (3, text[1], 3), (3, text[1], 4), (4, text[2], 5), (4, text[2], 6), (5, "", 7), (5, None, 8)]
+    frame = spark.createDataFrame([(*r, *"xyzuv") for r in rows], "doc_id long, text string, component int, kept_id string, mark string, digest string, row string, `a.b` string")
+    got = keep_one_of_each(frame)
+    assert got.columns == frame.columns
+    rows = sorted((r["doc_id"], r["component"]) for r in got.collect())
+    assert [x for x in rows if x[0] != 4] == [(1, 1), (1, 2), (5, 7), (5, 8)] and [i for i, _ in rows].count(4) == 1
+    assert keep_one_of_each(frame.limit(0)).count() == 0
