@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tesselith.llm.common import new_path
 from tesselith.llm.compression_quality import filter_quality
 from tesselith.llm.language_id import filter_language
 from tesselith.llm.packing import pack_documents
-from tesselith.llm.parity_join import jaccard_components
+from tesselith.llm.parity_join import keep_one_of_each
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document whose best profile is no nearer than this share of the largest distance has no language to speak of.
@@ -30,12 +29,10 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that of the smallest id, of each group linked at 0.8 on five-word shingles.
 
-    A null id is in no group and stays; of rows that repeat an id one stays.
+    A null id and a text without words are in no group and stay; texts that share
+    an id are judged each by itself; of repeated rows one stays.
     """
-    found = jaccard_components(docs, size=5, part=80, per=100)
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(first, F.col("doc_id") == F.col("kept_id"), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(COLUMNS)
+    return keep_one_of_each(docs.select(COLUMNS), size=5, part=80, per=100)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
