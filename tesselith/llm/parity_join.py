@@ -317,7 +317,8 @@ def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(key=held[0], frequent=np.full(len(held[0]), len(held[0]), np.int32), **{"class": held[1]})
 
 
-def _sketches(column: pa.Array) -> list[np.ndarray]:
+def _numbers(column: pa.Array) -> list[np.ndarray]:
+    """Sketches or sets, from their bytes."""
     return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
 
 
@@ -327,7 +328,7 @@ def _by_sketch(part: int, per: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = _sketches(batch.column("a_sketch")), _sketches(batch.column("b_sketch"))
+            x, y = _numbers(batch.column("a_sketch")), _numbers(batch.column("b_sketch"))
             differ = np.array([int(np.bitwise_count(fold(p, min(len(p), len(q))) ^ fold(q, min(len(p), len(q)))).sum()) for p, q in zip(x, y, strict=True)], np.int64)
             keep = may_link(batch.column("a_n").to_numpy(), batch.column("b_n").to_numpy(), differ, part, per)
             yield to_batch({c: batch.column(c).filter(pa.array(keep)) for c in "ab"}, schema)
@@ -336,88 +337,112 @@ def _by_sketch(part: int, per: int):
 
 
 def _across(part: int, per: int):
-    """Members sorted by (pivot, i, j) to the pairs of a family, of different components, that may link."""
+    """Members sorted by (pivot, i, j), with their sets, to links between the components of a family; a link that no longer joins two is left out."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def found(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        own_class, comp, n, piece = (rows.column(c).to_numpy() for c in ("class", "component", "n", "piece"))
+        own, comp, n, piece = (rows.column(c).to_numpy() for c in ("class", "component", "n", "piece"))
         label, of, members = np.unique(comp, return_inverse=True, return_counts=True)
         if len(label) < 2:
             return
         # members of the largest component meet the others only, so these are gone through
         place = np.argsort(-members, kind="stable").argsort(kind="stable")[of]
-        apart = rows.column("i")[0].as_py() != rows.column("j")[0].as_py()
-        sketch = _sketches(rows.column("sketch"))
+        pivot, i, j = (rows.column(c)[0].as_py() for c in ("pivot", "i", "j"))
+        sketch, sets = _numbers(rows.column("sketch")), _numbers(rows.column("set"))
         words = np.array(list(map(len, sketch)))
         groups = {}  # words, and members with so many: their numbers, their sketches
         for w in np.unique(words).tolist():
-            at = np.flatnonzero(words == w)
-            groups[w] = at, np.stack([sketch[x] for x in at])
-        got = []
-        for x in np.flatnonzero(place > 0).tolist():
-            for w, (at, own) in groups.items():
+            at = np.flatnonzero((words == w) & (own != pivot))  # the pivot has met every member
+            groups[w] = at, np.stack([sketch[x] for x in at]) if len(at) else np.empty((0, w), np.uint64)
+        parent = list(range(len(label)))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        links = []
+        for x in np.flatnonzero((place > 0) & (own != pivot)).tolist():
+            for w, (at, held) in groups.items():
                 near = (place[at] < place[x]) & (per * np.minimum(n[at], n[x]) >= part * np.maximum(n[at], n[x]))
-                if apart:
+                if i != j:
                     near &= piece[at] != piece[x]
                 if near.any():
                     shorter = min(w, len(sketch[x]))
-                    differ = np.bitwise_count(fold(sketch[x], shorter) ^ fold(own[near], shorter)).sum(axis=1).astype(np.int64)
-                    to = own_class[at[near][may_link(n[x], n[at[near]], differ, part, per)]]
-                    got.append(np.stack([np.minimum(to, own_class[x]), np.maximum(to, own_class[x])]))
-        if got:
-            a, b = np.unique(np.concatenate(got, axis=1), axis=1)
+                    differ = np.bitwise_count(fold(sketch[x], shorter) ^ fold(held[near], shorter)).sum(axis=1).astype(np.int64)
+                    able = may_link(n[x], n[at[near]], differ, part, per)
+                    order = np.argsort(differ[able], kind="stable")
+                    for y in at[near][able][order].tolist():
+                        if root(of[x]) != root(of[y]) and linked(sets[x], sets[y], part, per):
+                            parent[root(of[x])] = root(of[y])
+                            links.append((own[x], own[y]))
+        if links:
+            a, b = np.array(links, np.int64).T
             yield to_batch({"a": a, "b": b}, schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, []
         for batch in batches:
             names = [batch.column(c).to_numpy() for c in ("pivot", "i", "j")]
-            cuts = [0, *(np.flatnonzero(np.any([x[1:] != x[:-1] for x in names], axis=0)) + 1).tolist(), len(batch)]
-            for begin, end in zip(cuts, cuts[1:]):
-                group = tuple(int(x[begin]) for x in names) if end > begin else last
+            cuts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in names], axis=0)) + 1
+            for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)], strict=True):
+                if begin == end:
+                    continue
+                group = tuple(int(x[begin]) for x in names)
                 if group != last and held:
                     yield from found(pa.Table.from_batches(held).combine_chunks())
                     held = []
                 last = group
-                if end > begin:
-                    held.append(batch.slice(begin, end - begin))
+                held.append(batch.slice(begin, end - begin))
         if held:
             yield from found(pa.Table.from_batches(held).combine_chunks())
 
     return run
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size: int, part: int, per: int) -> DataFrame:
-    """The pairs (a, b: classes) whose whole sets link."""
-    spark = pairs.sparkSession
-    named = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    wanted, path = stored(named.join(classes.select("class", "rep", "digest"), "class").withColumnRenamed("rep", "doc"), "parity-verified")
-    ids = wanted.select("doc").distinct()
+def _sets_of(wanted: DataFrame, texts: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """class and its whole set, made anew from the text of its first document, for the classes asked for; stored."""
+    named, path = stored(wanted.distinct().join(classes.select("class", "rep", "digest"), "class").withColumnRenamed("rep", "doc"), "parity-wanted")
+    ids = named.select("doc").distinct()
     set_schema = pa.schema([("doc", pa.int64()), ("digest", pa.binary()), ("set", pa.binary())])
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
         for batch in batches:
             for piece in steps(batch, "text"):
                 own = [x.tobytes() for x in shingle_sets(piece.column("text").to_pylist(), size)]
-                yield to_batch({"doc": piece.column("doc"), "digest": [xxhash.xxh3_128_digest(x) for x in own], "set": own}, set_schema)
+                rows = [(i, xxhash.xxh3_128_digest(x), x) for i, x in zip(piece.column("doc").to_pylist(), own, strict=True)]
+                rows = [r for r in rows if r[:2] not in seen and not seen.add(r[:2])]
+                if len(seen) > SEEN:
+                    seen.clear()
+                if rows:
+                    yield to_batch(dict(zip(set_schema.names, zip(*rows, strict=True), strict=True)), set_schema)
 
     # an id may have several texts, of which the classes are told by digest; a text may be there several times
-    read = texts.select("doc", "text").join(F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids, "doc").mapInArrow(sets, "doc long, digest binary, set binary")
-    known, sets_path = stored(read.join(wanted, ["doc", "digest"]).select("class", "set"), "parity-sets")
+    count = named.count()
+    read = texts.select("doc", "text").join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, "doc").mapInArrow(sets, "doc long, digest binary, set binary")
+    known, known_path = stored(read.join(named, ["doc", "digest"]).select("class", "set"), "parity-sets")
+    if known.count() > count:  # a row that is there several times
+        once, _ = stored(known.dropDuplicates(["class"]), "parity-sets")
+        remove(wanted.sparkSession, known_path)
+        known = once
+    remove(wanted.sparkSession, path)
+    return known
+
+
+def _verify(pairs: DataFrame, known: DataFrame, part: int, per: int) -> DataFrame:
+    """The pairs (a, b: classes) whose whole sets link."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def test(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = _sketches(batch.column("a_set")), _sketches(batch.column("b_set"))
+            x, y = _numbers(batch.column("a_set")), _numbers(batch.column("b_set"))
             keep = pa.array([linked(p, q, part, per) for p, q in zip(x, y, strict=True)], pa.bool_())
             yield to_batch({c: batch.column(c).filter(keep) for c in "ab"}, schema)
 
     first = pairs.join(known.select(F.col("class").alias("a"), F.col("set").alias("a_set")), "a")
     both = first.join(known.select(F.col("class").alias("b"), F.col("set").alias("b_set")), "b")
-    out, _ = stored(both.select("a", "b", "a_set", "b_set").mapInArrow(test, "a long, b long").distinct(), "parity-links")
-    for p in (path, sets_path):
-        remove(spark, p)
-    return out
+    return stored(both.select("a", "b", "a_set", "b_set").mapInArrow(test, "a long, b long").distinct(), "parity-links")[0]
 
 
 def linked_classes(df: DataFrame, size: int, part: int, per: int, id_col: str, text_col: str, one_per_id: bool) -> tuple[DataFrame, DataFrame]:
@@ -437,10 +462,11 @@ def linked_classes(df: DataFrame, size: int, part: int, per: int, id_col: str, t
     3. Each member of a remaining run is paired with the run's first. Sizes and
        sketches (a lower bound of the symmetric difference) exclude most pairs,
        whole sets decide.
-    4. Members of the runs that have one first are a family; one that holds several
-       components gives its pairs across them, past the same bound, to the same
-       test, a large one piece against piece. So every linked pair is in one
-       component or has been tested, without all pairs of a group being given out.
+    4. Members of the runs that have one first are a family. One that holds several
+       components is brought together with its sets, a large one piece against
+       piece: pairs across components that pass the same bound take the same test
+       there, until the two are joined. So every linked pair is in one component or
+       has been tested, and no more than links are given out.
     """
     spark = df.sparkSession
     bands = Bands(part, per)
@@ -466,7 +492,7 @@ def linked_classes(df: DataFrame, size: int, part: int, per: int, id_col: str, t
     side = lambda c: classes.select(F.col("class").alias(c), F.col("n").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_sketch"))
     stars = members.where("pivot != class").select(F.col("pivot").alias("a"), F.col("class").alias("b")).join(side("a"), "a").join(side("b"), "b")
     tried, _ = stored(stars.select("a", "a_n", "a_sketch", "b", "b_n", "b_sketch").mapInArrow(_by_sketch(part, per), "a long, b long").distinct(), "parity-pairs")
-    links = _verify(tried, texts, classes, size, part, per)
+    links = _verify(tried, _sets_of(tried.select(F.explode(F.array("a", "b")).alias("class")), texts, classes, size), part, per)
     if one_per_id:
         first = filled.groupBy("doc").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where("least != most").select("doc")
         same = filled.join(first, "doc").select("doc", "digest").distinct().join(classes.select("digest", "class"), "digest")
@@ -475,19 +501,20 @@ def linked_classes(df: DataFrame, size: int, part: int, per: int, id_col: str, t
     found = connected_components(links)
 
     # families: the members of runs with one first class, where they lie in several components
-    labels = classes.select("class", F.octet_length("sketch").alias("bytes")).join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    labels = classes.select("class", (F.octet_length("sketch") + 8 * F.col("n")).alias("bytes")).join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     placed, placed_path = stored(members.join(labels, "class"), "parity-families")
     pieces = F.greatest(F.col("m") / PIECE, F.col("held") / PIECE_BYTES).cast("int")
     families = placed.groupBy("pivot").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m"), F.sum("bytes").alias("held")).where("low != high and m > 2").select("pivot", "m", pieces.alias("last"))
-    piece = F.pmod(F.xxhash64("class"), F.col("last") + 1)
-    several = join_counted(placed.drop("bytes"), families, "pivot", "m", placed.count()).withColumn("piece", piece).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last")).cast("array<long>")))
-    spread = several.select("pivot", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"), "class", "component", "piece").join(classes.select("class", "n", "sketch"), "class")
-    across = spread.repartition(n, "pivot", "i", "j").sortWithinPartitions("pivot", "i", "j").mapInArrow(_across(part, per), "a long, b long").distinct()
-    more, _ = stored(across.join(tried, ["a", "b"], "left_anti"), "parity-pairs")
-    for p in (shared_path, runs_path, members_path, placed_path):
+    several, several_path = stored(join_counted(placed.drop("bytes"), families, "pivot", "m", placed.count()), "parity-several")
+    if not several.isEmpty():
+        known = _sets_of(several.select("class"), texts, classes, size)
+        piece = F.pmod(F.xxhash64("class"), F.col("last") + 1)
+        cut = several.withColumn("piece", piece).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last")).cast("array<long>")))
+        spread = cut.select("pivot", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"), "class", "component", "piece").join(classes.select("class", "n", "sketch"), "class").join(known, "class")
+        across = spread.repartition(n, "pivot", "i", "j").sortWithinPartitions("pivot", "i", "j").mapInArrow(_across(part, per), "a long, b long")
+        found = connected_components(links.unionByName(across))
+    for p in (shared_path, runs_path, members_path, placed_path, several_path):
         remove(spark, p)
-    if not more.isEmpty():
-        found = connected_components(links.unionByName(_verify(more, texts, classes, size, part, per)))
     whole = classes.select("digest", "class", "copies").join(found.withColumnRenamed("node", "class"), "class", "left")
     return light.select("doc", "mark", "n", "digest"), whole.withColumn("component", F.coalesce("component", "class"))
 
