@@ -14,7 +14,7 @@ from tesselith.functions import mask_has, mask_or, mask_union, reconstruct
 from tesselith.metadata.layout import Layout
 from tesselith.metadata.schema import TID
 from tesselith.plans.query import BoundQuery, bits
-from tesselith.plans.scans import Scan, ScanPlan
+from tesselith.plans.scans import Scan, ScanPlan, estimated_rows
 from tesselith.sources.scan import filtered, merged, typed
 
 PASSED, DIRECT, VALID = "__passed", "__direct", "__valid"
@@ -72,31 +72,97 @@ def by_aggregation(spark: SparkSession, layout: Layout, query: BoundQuery, scans
     return rows.groupBy(TID).agg(mask_union(PASSED).alias(PASSED), mask_union(DIRECT).alias(DIRECT), mask_union(VALID).alias(VALID), *[reconstruct(c, _sortable(layout.schema[c].type)).alias(c) for c in columns])
 
 
-def _outer(a: DataFrame, b: DataFrame, columns: Iterable[str]) -> DataFrame:
-    """Full outer join on tid; a cell comes from the side that stores it, masks are united."""
+class MiniTables:
+    """Scans of one component as tables of one row per tuple, in join order, and what a tuple needs to be of use.
+
+    Each table has all scans, of those that are left, with the column of which
+    most tuples qualify; a cell is stored once, so their tuples differ. A tuple
+    is of use if it can get all columns of some set in `wanted`, and pass all
+    `filters`; `helpers` are masks that are joined later.
+    """
+
+    def __init__(self, layout: Layout, scans: list[Scan], wanted: list[set[str]], filters: int, helpers: Iterable[Scan] = ()):
+        self.wanted, self.filters, self.helpers = wanted, filters, list(helpers)
+        self.tables: list[list[Scan]] = []
+        rest = [(s, estimated_rows(s, layout)) for s in scans]
+        while rest:
+            held: dict[str, float] = {}
+            for s, n in rest:
+                for c in s.columns:
+                    held[c] = held.get(c, 0.0) + n
+            first = max(sorted(held), key=held.__getitem__)
+            self.tables.append([s for s, _ in rest if first in s.columns])
+            rest = [x for x in rest if first not in x[0].columns]
+        # tables that a tuple has to be in come first: the joins after them need not be full, and keep the partitioning
+        first = [self.needed([k]) for k in range(len(self.tables))]
+        self.tables = [t for t, x in zip(self.tables, first, strict=True) if x] + [t for t, x in zip(self.tables, first, strict=True) if not x]
+
+    def columns(self, numbers: Iterable[int]) -> set[str]:
+        return {c for k in numbers for s in self.tables[k] for c in s.columns}
+
+    def needed(self, numbers: Iterable[int]) -> bool:
+        """Whether a tuple in none of these tables is of no use: others lack a column of every wanted set, or pass too few filters."""
+        numbers = set(numbers)
+        others = [k for k in range(len(self.tables)) if k not in numbers]
+        elsewhere = self.columns(others)
+        if all(w - elsewhere for w in self.wanted):
+            return True
+        # a helper of a block has no tuple that the block's own scan lacks
+        own = {(s.partition, s.block.block_id) for k in numbers for s in self.tables[k]}
+        passed = [s.passed for k in others for s in self.tables[k]] + [s.passed for s in self.helpers if (s.partition, s.block.block_id) not in own]
+        return reduce(or_, passed, 0) & self.filters != self.filters
+
+    def join_type(self, k: int) -> str:
+        """How table k joins those before it."""
+        right, left = self.needed([k]), self.needed(range(k))
+        return "inner" if left and right else "left" if left else "right" if right else "full_outer"
+
+
+def _join(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
+    """Join on tid; a cell comes from the side that stores it, masks are united. But for full joins, the side that stays keeps its partitioning."""
+    left, right = set(a.columns), set(b.columns)
     a, b = a.alias("l"), b.alias("r")
+    tid = {"inner": F.col(f"l.{TID}"), "left": F.col(f"l.{TID}"), "right": F.col(f"r.{TID}")}.get(how, F.coalesce(F.col(f"l.{TID}"), F.col(f"r.{TID}")))
     masks = [mask_or(F.col(f"l.{m}"), F.col(f"r.{m}")).alias(m) for m in (PASSED, DIRECT, VALID)]
-    cells = [F.coalesce(F.col(f"l.{c}"), F.col(f"r.{c}")).alias(c) for c in columns]
-    return a.join(b, F.col(f"l.{TID}") == F.col(f"r.{TID}"), "full_outer").select(F.coalesce(F.col(f"l.{TID}"), F.col(f"r.{TID}")).alias(TID), *masks, *cells)
+    cells = [F.coalesce(F.col(f"l.{c}"), F.col(f"r.{c}")).alias(c) if c in left and c in right else F.col(f"l.{c}" if c in left else f"r.{c}").alias(c) for c in sorted((left | right) - {TID, PASSED, DIRECT, VALID})]
+    return a.join(b, F.col(f"l.{TID}") == F.col(f"r.{TID}"), how).select(tid.alias(TID), *masks, *cells)
 
 
-def _joined(spark: SparkSession, layout: Layout, query: BoundQuery, scans: list[Scan], columns: tuple[str, ...]) -> DataFrame:
-    """One table per partition (its blocks' tids differ), the largest first, joined pair by pair."""
-    by_partition: dict[int, list[Scan]] = {}
-    for s in scans:
-        by_partition.setdefault(s.partition, []).append(s)
-    size = lambda x: sum(s.block.rows or 0 for s in x)
-    tables = [_union(_fragments(spark, layout, query, x, columns)) for x in sorted(by_partition.values(), key=size, reverse=True)]
-    return reduce(lambda a, b: _outer(a, b, columns), tables)
+def _joined(spark: SparkSession, layout: Layout, query: BoundQuery, mini: MiniTables, columns: tuple[str, ...], direct: bool) -> DataFrame:
+    """The component's tables joined one by one; between joins go the tuples that no wanted set can be had of any more.
 
-
-def by_joins(spark: SparkSession, layout: Layout, query: BoundQuery, plan: ScanPlan, columns: tuple[str, ...]) -> DataFrame:
-    """Tuples put together by full outer joins, component by component, then the helpers' masks by a left join."""
-    rows = _union([_joined(spark, layout, query, c, columns) for c in plan.components])
-    if not plan.helpers:
+    With `direct`, the wanted sets are the measures, of which those do not count
+    that a direct read contributes.
+    """
+    out = None
+    for k, table in enumerate(mini.tables):
+        own = mini.columns([k])
+        rows = _union(_fragments(spark, layout, query, table, columns)).drop(*(c for c in columns if c not in own))
+        out = rows if out is None else _join(out, rows, mini.join_type(k))
+        later = mini.columns(range(k + 1, len(mini.tables)))
+        settled = [w - later for w in mini.wanted]
+        if later and all(settled):
+            alive = [mask_has(F.col(VALID), bits(w, columns)) & ((F.col(DIRECT).bitwiseAND(_long(1 << i)) == 0) if direct else F.lit(True)) for i, w in enumerate(settled)]
+            out = out.where(reduce(or_, alive))
+    return out.select(TID, PASSED, DIRECT, VALID, *[typed(layout, c, c in out.columns) for c in columns])
+
+
+def by_joins(spark: SparkSession, layout: Layout, query: BoundQuery, plan: ScanPlan, columns: tuple[str, ...], direct: bool) -> DataFrame:
+    """Tuples put together by joins, component by component, then the helpers' masks by a left join.
+
+    A block's own scan has the masks that it gives as a helper, so a component's
+    blocks help others only.
+    """
+    wanted = [set(m.columns) for m in query.measures] if direct else [set(columns)]
+    place = lambda s: (s.partition, s.block.block_id)
+    members = [set(map(place, c)) for c in plan.components]
+    helpers = [s for s in plan.helpers if any(place(s) not in m for m in members)]
+    every = bits(query.filters, query.filters)
+    rows = _union([_joined(spark, layout, query, MiniTables(layout, c, wanted, every, helpers), columns, direct) for c in plan.components])
+    if not helpers:
         return rows
-    helpers = _joined(spark, layout, query, plan.helpers, ()).select(F.col(TID).alias("__tid"), F.col(PASSED).alias("__more"))
-    return rows.join(helpers, F.col(TID) == F.col("__tid"), "left").withColumn(PASSED, mask_or(F.col(PASSED), F.col("__more"))).drop("__tid", "__more")
+    masks = _union(_fragments(spark, layout, query, helpers, ())).groupBy(F.col(TID).alias("__tid")).agg(mask_union(PASSED).alias("__more"))
+    return rows.join(masks, F.col(TID) == F.col("__tid"), "left").withColumn(PASSED, mask_or(F.col(PASSED), F.col("__more"))).drop("__tid", "__more")
 
 
 def late_rows(spark: SparkSession, layout: Layout, query: BoundQuery, plan: ScanPlan, how: str) -> list[DataFrame]:
@@ -104,7 +170,7 @@ def late_rows(spark: SparkSession, layout: Layout, query: BoundQuery, plan: Scan
     if not plan.components:
         return []
     columns = query.columns
-    rows = by_aggregation(spark, layout, query, plan.rebuild, columns) if how == "agg" else by_joins(spark, layout, query, plan, columns)
+    rows = by_aggregation(spark, layout, query, plan.rebuild, columns) if how == "agg" else by_joins(spark, layout, query, plan, columns, True)
     rows = rows.where(mask_has(F.col(PASSED), bits(query.filters, query.filters)))
     there = {m.name: mask_has(F.col(VALID), bits(m.columns, columns)) & (F.col(DIRECT).bitwiseAND(_long(1 << i)) == 0) for i, m in enumerate(query.measures)}
     return [_evaluated(rows, query, there)]
@@ -115,7 +181,7 @@ def early_rows(spark: SparkSession, layout: Layout, query: BoundQuery, plan: Sca
     if not plan.rebuild:
         return []
     columns = query.referenced
-    rows = by_aggregation(spark, layout, query, plan.rebuild, columns) if how == "agg" else by_joins(spark, layout, query, plan, columns)
+    rows = by_aggregation(spark, layout, query, plan.rebuild, columns) if how == "agg" else by_joins(spark, layout, query, plan, columns, False)
     rows = rows.where(mask_has(F.col(VALID), bits(columns, columns)))
     return [_evaluated(rows, query, {m.name: F.lit(True) for m in query.measures})]
 

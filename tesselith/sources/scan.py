@@ -20,7 +20,7 @@ def read_blocks(spark: SparkSession, layout: Layout, partition: int, ids: Iterab
     df = spark.read.schema(stored).parquet(p.path)
     if ids is None or len(ids) == len(p.blocks):
         return df
-    return df.where(F.col(BLOCK_ID).isin(ids))
+    return df.where(f"{BLOCK_ID} in ({', '.join(map(str, map(int, ids)))})" if ids else "false")
 
 
 def merged(scans: Iterable[Scan]) -> list[tuple[Scan, list[int]]]:
