@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesselith import catalog_queries
 from tesselith.api import Measure, Predicate, Query, run
 from tesselith.functions import mask_and, mask_count, mask_get, mask_or, mask_union
 from tesselith.metadata.boundary import ComplexBoundary
@@ -45,6 +46,25 @@ def lineitem_layouts() -> dict[str, list[Partition]]:
     }
 
 
+def grid_layout(years: int = 7, quantities: int = 10) -> list[Partition]:
+    """Many blocks: lines of a quarter and a range of quantities are cut into two groups of columns, the prices apart by quarter alone.
+
+    The columns that queries use together lie in one block for half of the quantities, so those tuples need no rebuilding.
+    """
+    days = [dt.datetime(1995 + i // 4, 1 + 3 * (i % 4), 1) for i in range(4 * years)]
+    quarters = [Interval(lo, hi, False, hi is not None) for lo, hi in zip([None, *days[1:]], [*days[1:], None], strict=True)]
+    cuts = [50.0 * i / quantities for i in range(1, quantities)]
+    ranges = [Interval(lo, hi, lo is not None) for lo, hi in zip([None, *cuts], [*cuts, None], strict=True)]
+    low, high = [x for x in ranges if x.high is not None and x.high <= 25], [x for x in ranges if x.low is not None and x.low >= 25]
+    cells = lambda own: [{"l_shipdate": q, "l_quantity": x} for q in quarters for x in own]
+    return [
+        group("wide", ("l_quantity", "l_discount", "l_extendedprice", "l_shipdate"), cells(high)),
+        group("quantity", ("l_quantity", "l_discount"), cells(low)),
+        group("price", ("l_extendedprice", "l_shipdate"), [{"l_shipdate": q, **_LOW} for q in quarters]),
+        group("rest", _rest("l_quantity", "l_discount", "l_extendedprice", "l_shipdate"), [{"l_shipdate": q} for q in quarters]),
+    ]
+
+
 _written: dict[tuple[str, str, str], Layout] = {}
 
 
@@ -62,7 +82,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def layout_of(spark: SparkSession, sf_dir: str, name: str) -> Layout:
     """lineitem in one of the layouts above."""
-    return _once(spark, sf_dir, name, lambda path: write_layout(_table(spark, sf_dir, "lineitem"), lineitem_layouts()[name], path))
+    return _once(spark, sf_dir, name, lambda path: write_layout(_table(spark, sf_dir, "lineitem"), grid_layout() if name == "grid" else lineitem_layouts()[name], path))
 
 
 def _price(c: str) -> str:
@@ -85,6 +105,7 @@ RESIDUAL = Query([_sum("price", _price("l_extendedprice")), Measure("n", "count"
 EMPTY = Query([_sum("revenue", _price("l_extendedprice")), Measure("n", "count")], [Predicate("l_quantity", ">", 1000.0)])
 CONTRADICTION = Query([_sum("revenue", _price("l_extendedprice"))], [Predicate("l_quantity", ">", 30.0), Predicate("l_quantity", "<", 20.0)])
 REPEATED = Query([_sum("revenue", _price("l_extendedprice"))], [Predicate("l_quantity", ">=", 35.0), Predicate("l_quantity", ">=", 10.0), Predicate.flipped(45.0, ">", "l_quantity")])
+NARROW = Query([_sum("charge", f"{_price('l_extendedprice')} * (1 - {_price('l_discount')})"), _sum("quantity", _price("l_quantity"))], [Predicate("l_shipdate", ">=", dt.datetime(1997, 4, 1)), Predicate("l_shipdate", "<", dt.datetime(1998, 1, 1)), Predicate("l_quantity", ">", 15.0)])
 NO_FILTER = Query([_sum("quantity", _price("l_quantity")), _sum("price", _price("l_extendedprice")), Measure("n", "count")])
 
 #: Query, its money columns, and its SQL over lineitem.
@@ -102,6 +123,7 @@ WORKLOAD: dict[str, tuple[Query, str]] = {
     "empty_range": (EMPTY, f"SELECT {_SQL_PRICE.format('l_extendedprice')} AS revenue, count(*) AS n FROM lineitem WHERE l_quantity > 1000"),
     "contradiction": (CONTRADICTION, f"SELECT {_SQL_PRICE.format('l_extendedprice')} AS revenue FROM lineitem WHERE l_quantity > 30 AND l_quantity < 20"),
     "repeated_predicate": (REPEATED, f"SELECT {_SQL_PRICE.format('l_extendedprice')} AS revenue FROM lineitem WHERE l_quantity >= 35 AND l_quantity >= 10 AND l_quantity < 45"),
+    "narrow": (NARROW, f"SELECT CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(18,2)))) AS DOUBLE) AS charge, {_SQL_PRICE.format('l_quantity')} AS quantity FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-04-01' AND l_shipdate < TIMESTAMP '1998-01-01' AND l_quantity > 15"),
     "no_filter": (NO_FILTER, f"SELECT {_SQL_PRICE.format('l_quantity')} AS quantity, {_SQL_PRICE.format('l_extendedprice')} AS price, count(*) AS n FROM lineitem"),
 }
 #: Which of them run by which strategies over which layout.
@@ -119,6 +141,7 @@ RUNS: list[tuple[str, str, tuple[str, ...]]] = [
     ("contradiction", "mixed", ("late_agg", "early_join")),
     ("repeated_predicate", "irregular", ("late_agg", "late_join", "early_agg")),
     ("no_filter", "mixed", ("late_agg", "late_join")),
+    ("narrow", "grid", ("late_agg", "late_join", "early_agg", "early_join")),
 ]
 
 
@@ -216,7 +239,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         strategy = "scan" if kind == "horizontal" else "early_agg" if kind.endswith("early") else "late_agg"
         out[f"{name}_sum"] = _partitioned_query(kind, "sum", strategy)
         out[f"{name}_multi_measure"] = _partitioned_query(kind, "multi_measure", strategy)
-    return out
+    return out | catalog_queries.queries(layout_of)
 
 
 def oracle_sql() -> dict[str, str]:
@@ -236,4 +259,4 @@ def oracle_sql() -> dict[str, str]:
         out[f"partition_{kind}_rows"] = f"SELECT c AS \"column\", n, n AS tuples FROM (SELECT unnest([{columns}]) AS c), (SELECT count(*) AS n FROM lineitem)"
         for q in ("sum", "multi_measure"):
             out[f"partition_{kind}_{q}"] = WORKLOAD[q][1]
-    return out
+    return out | catalog_queries.oracle_sql()
