@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import sys
 import unicodedata
 import uuid
@@ -17,15 +18,19 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesselith.llm.common import new_path, steps, to_batch
+from tesselith.llm.common import STEP_BYTES, new_path, steps, to_batch
 
 #: A chunk of documents shares one dictionary; it ends at so many bytes of text or distinct words.
 CHUNK_BYTES, CHUNK_WORDS = 32 << 20, 600_000
 DICTIONARY = "at long, word string"
+#: Dictionary rows for which the word shuffle gets a partition.
+PARTITION_WORDS = 2_000_000
 #: Where a word lies: from the lowest bits its number in a chunk's dictionary (0 has the chunk's file), the task, the task's chunk.
 PLACE_BITS, TASK_BITS = 24, 23
 #: White space in some libraries only.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: No pre-token reaches over these: a blank is at the start of one, or follows white space (of any Unicode version).
+SAFE_CUTS = re.compile(r"(?<=[^\s\u180e\u200b])(?= )")
 
 
 class ByteVocabulary:
@@ -48,8 +53,20 @@ class ByteVocabulary:
         self.bytes = np.frombuffer(b"".join(table), np.uint8)
         self.kind = np.dtype("<u2" if len(table) <= 1 << 16 else "<u4")
 
+    def unlike(self, text: str) -> bool:
+        """Whether libraries may split the text differently."""
+        if text.isascii():
+            return any(map(text.__contains__, SEPARATORS))
+        return bool(self.unstable[np.frombuffer(text.encode("utf-32-le"), np.uint32)].any())
+
+    def words(self, text: str) -> list[str]:
+        """The text's pre-tokens; a stretch between safe cuts that libraries may split differently stays whole."""
+        if not self.unlike(text):
+            return self.split(text)
+        return [w for x in SAFE_CUTS.split(text) for w in ([x] if self.unlike(x) else self.split(x))]
+
     def encode_word(self, word: str) -> bytes:
-        """Ids of one pre-token, which the pattern gives back as one match."""
+        """Ids of one pre-token, or of a stretch of several."""
         return np.array(self.library.encode_ordinary(word), self.kind).tobytes()
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,9 +100,9 @@ def byte_vocabulary(path: str, pattern: str) -> ByteVocabulary:
     return ByteVocabulary(path, pattern)
 
 
-#: What a chunk file holds of each document: its words' places in the dictionary, or the text itself.
+#: What a chunk file holds of each document: its words' places in the dictionary.
 #: The places' bytes lie apart, low to high, for they compress better so.
-CHUNK_SCHEMA = pa.schema([("doc_id", pa.int64()), *((f"byte{i}", pa.list_(pa.uint8())) for i in range(PLACE_BITS // 8)), ("raw", pa.string())])
+CHUNK_SCHEMA = pa.schema([("doc_id", pa.int64()), *((f"byte{i}", pa.list_(pa.uint8())) for i in range(PLACE_BITS // 8))])
 DICTIONARY_SCHEMA = pa.schema([("at", pa.int64()), ("word", pa.string())])
 
 
@@ -110,21 +127,15 @@ class _Chunk:
         self.size = 0
 
     def add(self, own: ByteVocabulary, part: pa.RecordBatch) -> None:
-        get, refs, ends, raw = self.places.__getitem__, [], [0], []
+        get, refs, ends = self.places.__getitem__, [], [0]
         for text in part.column("text").to_pylist():
-            text = text or ""
-            self.size += len(text)
-            if text.isascii():
-                odd = any(map(text.__contains__, SEPARATORS))
-            else:
-                odd = bool(own.unstable[np.frombuffer(text.encode("utf-32-le"), np.uint32)].any())
-            raw.append(text if odd else None)
-            words = [] if odd else own.split(text)
+            words = own.words(text or "")
             refs.append(np.fromiter(map(get, words), np.uint32, len(words)))
             ends.append(ends[-1] + len(words))
+        self.size += pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
         ends, refs = pa.array(ends, pa.int32()), np.concatenate(refs)
         planes = {f"byte{i}": pa.ListArray.from_arrays(ends, pa.array((refs >> np.uint32(8 * i)).astype(np.uint8))) for i in range(PLACE_BITS // 8)}
-        self.file.write_batch(to_batch({"doc_id": part.column("doc_id"), "raw": raw} | planes, CHUNK_SCHEMA))
+        self.file.write_batch(to_batch({"doc_id": part.column("doc_id")} | planes, CHUNK_SCHEMA))
 
     def close(self) -> pa.RecordBatch:
         """The dictionary, after the file's name; by word, for neighbours then compress better in the shuffle."""
@@ -142,7 +153,7 @@ def _refs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return refs, planes[0].offsets.to_numpy()
 
 
-def byte_bpe(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
+def byte_bpe(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, chunk_bytes: int = CHUNK_BYTES, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """Encodes every text and decodes the ids again: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
     1. Each chunk of documents is exploded into pre-tokens by position and
@@ -156,9 +167,9 @@ def byte_bpe(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     A null text is empty: no ids, the digests of no bytes. Null ids stay null,
     repeated rows are encoded each, an empty table gives no rows, other columns
-    are not read. A text with a letter that Unicode versions class differently
-    is encoded whole by the library in step 3. `folder` must be one that
-    pyarrow's file systems reach.
+    are not read. A stretch between blanks with a letter that Unicode versions class
+    differently goes through the shuffle as one word, which the library splits.
+    `folder` must be one that pyarrow's file systems reach.
     """
     spark = df.sparkSession
     folder = folder or new_path(spark, "byte-bpe")
@@ -168,11 +179,11 @@ def byte_bpe(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
         own, chunk, number = byte_vocabulary(path, pattern), None, TaskContext.get().partitionId()
         for batch in batches:
-            for part in steps(batch, "text"):
+            for part in steps(batch, "text", min(STEP_BYTES, chunk_bytes)):
                 if chunk is None:
                     chunk, number = _Chunk(f"{folder}/chunks", number), number + (1 << TASK_BITS)
                 chunk.add(own, part)
-                if chunk.size >= CHUNK_BYTES or len(chunk.places) >= CHUNK_WORDS:
+                if chunk.size >= chunk_bytes or len(chunk.places) >= chunk_words:
                     yield chunk.close()
                     chunk = None
         if chunk:
@@ -200,7 +211,8 @@ def byte_bpe(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             yield to_batch({"at": batch.column("at"), "ids": out}, encoded_schema)
 
     # a word has a row per chunk at most, so no word outweighs a partition
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(least, -(-dictionary.count() // PARTITION_WORDS))
     encoded = dictionary.repartition(n, "word").sortWithinPartitions("word").mapInArrow(encode, "at long, ids binary")
 
     digest_schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
@@ -237,15 +249,13 @@ def byte_bpe(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         decoded, ends = own.decode(ids)
         byte_bounds = np.append(0, ends)[bounds]
         wide, n, a, b = ids.astype("<u4"), [], [], []
-        for i, raw in enumerate(batch.column("raw").to_pylist()):
+        for i in range(len(batch)):
             x, y = wide[bounds[i] : bounds[i + 1]], decoded[byte_bounds[i] : byte_bounds[i + 1]]
-            if raw is not None:
-                x = np.array(own.library.encode_ordinary(raw), "<u4")
-                y = own.decode(x)[0]
             n.append(len(x))
             a.append(hashlib.sha256(x.tobytes()).hexdigest())
             b.append(hashlib.sha256(y.tobytes()).hexdigest())
         return to_batch({"doc_id": batch.column("doc_id"), "n_tokens": n, "ids_sha256": a, "decoded_sha256": b}, digest_schema)
 
-    by_chunk = encoded.repartition(n, F.shiftright("at", PLACE_BITS)).sortWithinPartitions("at")
+    chunks = dictionary.where(F.col("at").bitwiseAND(place_mask) == 0).count()
+    by_chunk = encoded.repartition(max(least, chunks), F.shiftright("at", PLACE_BITS)).sortWithinPartitions("at")
     return by_chunk.mapInArrow(reassemble, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
