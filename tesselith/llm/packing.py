@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesselith.llm.common import release, steps, to_batch
-from tesselith.llm.word_tokens import vocabulary
+from tesselith.llm.word_tokens import ENCODE_BYTES, vocabulary
 
 #: Tokens that one window packs together: bounds memory, and the padding is a fixed few sequences a window.
 WINDOW_TOKENS = 4 << 20
@@ -152,7 +152,7 @@ def pack_documents(df: DataFrame, path: str, capacity: int = 4096, end_id: int =
             return out
 
         for batch in batches:
-            for part in steps(batch, "text"):
+            for part in steps(batch, "text", ENCODE_BYTES):
                 got = [x + end for x in own.encode(part.column("text").to_pylist())]
                 ids += part.column("doc_id").to_pylist()
                 held += got
@@ -161,7 +161,7 @@ def pack_documents(df: DataFrame, path: str, capacity: int = 4096, end_id: int =
                     yield packed()
         if held:
             yield packed()
-        own.store.clear()
+        own.forget()
         release()
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, ", ".join(f"{c} long" for c in names))

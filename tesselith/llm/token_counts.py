@@ -11,10 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesselith.llm.common import steps, to_batch
-from tesselith.llm.word_tokens import vocabulary
-
-#: Words whose counts a process keeps after merging them; beyond it the store starts anew.
-KEPT_COUNTS = 400_000
+from tesselith.llm.word_tokens import ENCODE_BYTES, vocabulary
 
 
 def _byte_letters() -> dict[str, int]:
@@ -42,7 +39,7 @@ def whole_tokens(path: str) -> frozenset[str]:
                 continue
             if word and own.words(word) == [word]:
                 tried.append(word)
-    return frozenset(w for w, ids in zip(tried, own.encode_words(tried), strict=True) if len(ids) == 1)
+    return frozenset(w for w, ids in zip(tried, own.encode_words(tried), strict=True) if len(ids) == 4)
 
 
 _merged: dict[str, dict[str, int]] = {}
@@ -51,23 +48,14 @@ _merged: dict[str, dict[str, int]] = {}
 def count_tokens(texts: list[str | None], path: str, single: frozenset[str]) -> list[int]:
     """Tokens of each text: matches of the table count one each, only other words are merged."""
     own, merged = vocabulary(path), _merged.setdefault(path, {})
-    out, rest = [0] * len(texts), {}
-    for i, t in enumerate(texts):
+    out, rest = [], []
+    for t in texts:
         words = own.words(t or "")
-        if words is None:
-            out[i] = len(own.library.encode(t, add_special_tokens=False))
-        else:
-            rest[i] = [w for w in words if w not in single]
-            out[i] = len(words) - len(rest[i])
-    needed = {w for x in rest.values() for w in x}
-    missing = sorted(w for w in needed if w not in merged)
-    if len(merged) + len(missing) > KEPT_COUNTS:
-        merged.clear()
-        missing = sorted(needed)
-    merged.update(zip(missing, map(len, own.encode_words(missing)), strict=True))
-    for i, x in rest.items():
-        out[i] += sum(map(merged.__getitem__, x))
-    return out
+        rest.append([w for w in words if w not in single])
+        out.append(len(words) - len(rest[-1]))
+    missing = own.lacking(set().union(*rest), merged)
+    merged.update(zip(missing, (len(x) // 4 for x in own.encode_words(missing)), strict=True))
+    return [n + sum(map(merged.__getitem__, x)) for n, x in zip(out, rest, strict=True)]
 
 
 def token_counts(df: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -83,7 +71,7 @@ def token_counts(df: DataFrame, path: str, limit: int = 2048, id_col: str = "doc
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in steps(batch, "text"):
+            for part in steps(batch, "text", ENCODE_BYTES):
                 n = np.array(count_tokens(part.column("text").to_pylist(), path, single.value), np.int64)
                 size = pc.fill_null(pc.binary_length(part.column("text")), 0).cast(pa.int64())
                 yield to_batch({"doc_id": part.column("doc_id"), "n_bytes": size, "n_tokens": n, "over_limit": n > limit}, schema)
