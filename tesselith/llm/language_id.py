@@ -78,7 +78,7 @@ class Profiles:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language of least out-of-place distance (ties: first by name), and 1 less its share of the largest."""
-        top = top_grams(text) if text else ()
+        top = top_grams(text) if text and any(map(str.isalpha, text)) else ()
         if not len(top) or not len(self.grams):
             return UNKNOWN, 0.0
         at = np.searchsorted(self.grams, top)
@@ -100,14 +100,15 @@ def learn_profiles(df: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str =
 
     Each language's sample is drawn by a hash of the id at the rate that gives
     about `sample_docs` documents (all, if there are fewer); their whole texts
-    count. What reaches the driver is a count and RANKS n-grams per language.
+    count. What reaches the driver is a count and RANKS n-grams per distinct label.
     """
     labelled = df.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = {r[0]: r[1] for r in labelled.groupBy(F.col(lang_col).cast("string")).count().collect()}
     if not sizes:
         return Profiles({})
-    rate = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int(min(1.0, sample_docs / n) * 1_000_000))])
-    sample = labelled.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < rate[F.col("lang")])
+    # a rate as the largest hash that is drawn, so that it is no coarser for many documents
+    rate = F.create_map(*[F.lit(x).cast("long") if isinstance(x, int) else F.lit(x) for k, n in sizes.items() for x in (k, (min(sample_docs, n) << 64) // n - (1 << 63) - 1)])
+    sample = labelled.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.xxhash64("doc_id") <= rate[F.col("lang")])
     schema = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +152,13 @@ def identify_language(df: DataFrame, profiles: Profiles | None = None, id_col: s
 
 
 def filter_language(df: DataFrame, least: float, profiles: Profiles | None = None, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose text has a language predicted with this score at least. No shuffle but for learning."""
+    """The rows, with all their columns, whose text has a language predicted with this score at least. No shuffle but for learning.
+
+    A null or empty text, and one without a letter, has no language and goes; the
+    id does not matter, so rows with a null id and repeated rows are judged each;
+    an empty table gives none. Without `profiles`, `doc_id`, `lang` and the text
+    of the rows are learned from.
+    """
     learned = df.sparkSession.sparkContext.broadcast(profiles or learn_profiles(df, text_col=text_col))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
