@@ -188,7 +188,7 @@ def nearest_neighbours(df: DataFrame, every: int = 50, k: int = 5, rerank: int =
     rows, kind = _clean(df, id_col, vec_col)
     first = Window.partitionBy("vec").orderBy("vec_id")
     distinct, _ = stored(rows.distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1).groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.element_at("ids", 1).alias("rep"), "vec", "ids"), "ann-distinct")
-    queries, _ = stored(rows.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("vec").alias("vec")), "ann-queries")
+    queries, _ = stored(rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.xxhash64("vec").alias("mark"), "vec").distinct(), "ann-queries")
     count = distinct.count()
     sample = distinct.where(F.pmod(F.xxhash64("vec"), F.lit(1_000_000)) < int(min(1.0, SAMPLE / max(count, 1)) * 1_000_000)).select("vec").toArrow().column("vec").combine_chunks()
     if not len(sample):  # too few rows for the rate to draw any
@@ -200,8 +200,8 @@ def nearest_neighbours(df: DataFrame, every: int = 50, k: int = 5, rerank: int =
     tasks = max(-(-count // max(min(HELD, HELD_BYTES // (8 * wide)), 1)), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // 2048)))
 
     # kind 0: a candidate's code, vector and likeness; kind 1: a block of queries, for every task
-    row = pa.schema([("task", pa.int32()), ("kind", pa.int32()), ("id", pa.int64()), ("data", pa.binary()), ("vec", pa.binary()), ("norm", pa.float32()), ("like", pa.float64())])
-    row_ddl = "task int, kind int, id long, data binary, vec binary, norm float, like double"
+    row = pa.schema([("task", pa.int32()), ("kind", pa.int32()), ("id", pa.int64()), ("mark", pa.int64()), ("data", pa.binary()), ("vec", pa.binary()), ("norm", pa.float32()), ("like", pa.float64())])
+    row_ddl = "task int, kind int, id long, mark long, data binary, vec binary, norm float, like double"
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,18 +209,18 @@ def nearest_neighbours(df: DataFrame, every: int = 50, k: int = 5, rerank: int =
                 continue
             x = _unit(batch.column("vec"), kind)
             codes, norms = quantiser.value.encode(x)
-            yield to_batch({"task": batch.column("task"), "kind": np.zeros(len(batch), np.int32), "id": batch.column("rep"), "data": [c.tobytes() for c in np.asarray(codes, np.uint8)], "vec": batch.column("vec"), "norm": np.asarray(norms, np.float32), "like": quantiser.value.likeness(x, codes)}, row)
+            yield to_batch({"task": batch.column("task"), "kind": np.zeros(len(batch), np.int32), "id": batch.column("rep"), "mark": batch.column("mark"), "data": [c.tobytes() for c in np.asarray(codes, np.uint8)], "vec": batch.column("vec"), "norm": np.asarray(norms, np.float32), "like": quantiser.value.likeness(x, codes)}, row)
 
     def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, len(batch), QUERIES):
                 part = batch.slice(i, QUERIES)
-                data = np.asarray(part.column("query_id")).tobytes() + _exact_unit(part.column("vec").to_pylist(), kind).tobytes()
-                yield to_batch({"task": [0], "kind": [1], "id": [len(part)], "data": [data], "vec": [None], "norm": [0.0], "like": [0.0]}, row)
+                data = np.asarray(part.column("query_id")).tobytes() + np.asarray(part.column("mark")).tobytes() + _exact_unit(part.column("vec").to_pylist(), kind).tobytes()
+                yield to_batch({"task": [0], "kind": [1], "id": [len(part)], "mark": [0], "data": [data], "vec": [None], "norm": [0.0], "like": [0.0]}, row)
 
-    index = distinct.select(F.pmod(F.xxhash64("rep"), F.lit(tasks)).cast("int").alias("task"), "rep", "vec").mapInArrow(encode, row_ddl)
-    asked = queries.mapInArrow(blocks, row_ddl).withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)))).select("task", "kind", "id", "data", "vec", "norm", "like")
-    found_schema = pa.schema([("query_id", pa.int64()), ("reps", pa.list_(pa.int64())), ("scores", pa.list_(pa.float64()))])
+    index = distinct.select(F.pmod(F.xxhash64("rep"), F.lit(tasks)).cast("int").alias("task"), "rep", F.xxhash64("vec").alias("mark"), "vec").mapInArrow(encode, row_ddl)
+    asked = queries.mapInArrow(blocks, row_ddl).withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)))).select("task", "kind", "id", "mark", "data", "vec", "norm", "like")
+    found_schema = pa.schema([("query_id", pa.int64()), ("mark", pa.int64()), ("reps", pa.list_(pa.int64())), ("owns", pa.list_(pa.int64())), ("scores", pa.list_(pa.float64()))])
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, task, held, index_ = quantiser.value, None, [], None
@@ -230,19 +230,19 @@ def nearest_neighbours(df: DataFrame, every: int = 50, k: int = 5, rerank: int =
                 if row_["task"] != task:
                     task, held, index_ = row_["task"], [], None
                 if row_["kind"] == 0:
-                    held.append((row_["id"], row_["data"], row_["norm"], row_["vec"], row_["like"]))
+                    held.append((row_["id"], row_["data"], row_["norm"], row_["vec"], row_["like"], row_["mark"]))
                     continue
                 if not held and index_ is None:
                     continue
                 if index_ is None:
                     codes = np.frombuffer(b"".join(x[1] for x in held), np.uint8).reshape(len(held), -1).astype(np.int64) + np.arange(own.books.shape[0]) * words
-                    index_ = np.array([x[0] for x in held]), np.ascontiguousarray(codes.T), np.array([x[2] for x in held], np.float32), _exact_unit([x[3] for x in held], kind), np.array([x[4] for x in held])
+                    index_ = np.array([x[0] for x in held]), np.ascontiguousarray(codes.T), np.array([x[2] for x in held], np.float32), _exact_unit([x[3] for x in held], kind), np.array([x[4] for x in held]), np.array([x[5] for x in held])
                     held = []
-                reps, codes, norms, exact, like = index_
+                reps, codes, norms, exact, like, owns = index_
                 n = row_["id"]
-                ids = np.frombuffer(row_["data"][: 8 * n], np.int64)
-                asked_ = np.frombuffer(row_["data"][8 * n :], np.float64).reshape(n, -1)
-                best, values = [], []
+                ids, marks = np.frombuffer(row_["data"][: 16 * n], np.int64).reshape(2, n)
+                asked_ = np.frombuffer(row_["data"][16 * n :], np.float64).reshape(n, -1)
+                best, own_marks, values = [], [], []
                 for query, table in zip(asked_, own.tables(asked_.astype(np.float32)), strict=True):
                     got = table[codes[0]]
                     for c in codes[1:]:
@@ -250,14 +250,16 @@ def nearest_neighbours(df: DataFrame, every: int = 50, k: int = 5, rerank: int =
                     got /= np.maximum(norms, 1e-12)
                     at, scores = nearest_held(query, exact, reps, got, like, k + 1, rerank)
                     best.append(reps[at])
+                    own_marks.append(owns[at])
                     values.append(scores)
-                yield to_batch({"query_id": ids, "reps": best, "scores": values}, found_schema)
+                yield to_batch({"query_id": ids, "mark": marks, "reps": best, "owns": own_marks, "scores": values}, found_schema)
 
     held_rows = index.unionByName(asked).repartition(tasks, "task").sortWithinPartitions("task", "kind", "id")
-    found = held_rows.mapInArrow(score, "query_id long, reps array<long>, scores array<double>")
-    pairs = found.select("query_id", F.explode(F.arrays_zip("reps", "scores")).alias("x")).select("query_id", F.col("x.reps").alias("rep"), F.col("x.scores").alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "rep")
+    found = held_rows.mapInArrow(score, "query_id long, mark long, reps array<long>, owns array<long>, scores array<double>")
+    query = ("query_id", "mark")
+    pairs = found.select(*query, F.explode(F.arrays_zip("reps", "owns", "scores")).alias("x")).select(*query, F.col("x.reps").alias("rep"), F.col("x.owns").alias("own"), F.col("x.scores").alias("score"))
+    best = Window.partitionBy(*query).orderBy(F.desc("score"), "rep", "own")
     pairs = pairs.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    scored = pairs.join(distinct.select("rep", "ids"), "rep").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id != query_id")
+    rank = F.row_number().over(Window.partitionBy(*query).orderBy(F.desc("score"), "vec_id"))
+    scored = pairs.join(distinct.select("rep", F.xxhash64("vec").alias("own"), "ids"), ["rep", "own"]).select(*query, "own", "score", F.explode("ids").alias("vec_id")).where("vec_id != query_id or mark != own")
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

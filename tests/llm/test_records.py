@@ -142,6 +142,17 @@ def test_vectors_that_take_no_part(spark):
         assert nearest_neighbours(vectors(spark, few, "array<double>")).count() == 0
 
 
+def test_rows_that_share_an_id_are_queries_and_candidates_each(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (1, [1.0, 0.1]), (2, [0.1, 1.0]), (1, [-1.0, 0.2])]
+    got = [(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 6)) for r in nearest_neighbours(vectors(spark, rows)).collect()]
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+    own, want = list(dict.fromkeys((i, tuple(v)) for i, v in rows)), []
+    for q in (x for x in own if x[0] == 0):
+        ranked = sorted(((-cosine(q[1], v), i) for i, v in own if (i, v) != q))
+        want += [(0, k, i, round(-s, 6)) for k, (s, i) in enumerate(ranked, 1)]
+    assert sorted(got) == sorted(want)
+
+
 def test_quantiser_improves_with_the_beam():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(1500, 16)).astype(np.float32)
