@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 
 from tesselith.llm.common import join_counted, stored, to_batch
 
-#: Groups that one task packs, and bundles a shard is made of at least.
-TASK_GROUPS, BUNDLES = 50_000, 512
+#: Groups that one task packs, tasks at most (beyond them each packs more), and bundles a shard is made of at least.
+TASK_GROUPS, TASKS, BUNDLES = 50_000, 4096, 512
 #: Keys in a leaf of the tree; a fuller leaf splits in two.
 LEAF = 256
 
@@ -67,8 +67,10 @@ def best_fit_decreasing(sizes: Iterable[int], capacity: int) -> Iterator[int]:
 
 
 def fewest_capacity(sizes: list[int], bins: int) -> list[int]:
-    """The bin of each size under the least capacity for which best-fit decreasing needs at most `bins`.
+    """The bin of each size under a capacity, found by bisection, for which best-fit decreasing needs at most `bins`.
 
+    Of the capacities that bisection tries it is the least that suffices; as the
+    rule may need more bins under a larger capacity, a smaller one can exist.
     A size over an even share of what is left has a bin alone, so that it does
     not leave the other bins to a few.
     """
@@ -105,8 +107,9 @@ def shard_documents(df: DataFrame, shards: int = 24, id_col: str = "doc_id", tex
     Groups are summed by a digest of the text before anything is shuffled. Tasks
     of about TASK_GROUPS groups pack them by best fit decreasing into bundles of
     a 512th of a shard at most (a larger group is a bundle alone), so at most
-    two bundles per such share and one per task reach the driver, which packs
-    them by the same rule under the least capacity that needs no more shards.
+    two bundles per such share and one per task (about 30,000 for 24 shards, of any
+    table) reach the driver, which packs them by the same rule under the least
+    capacity, found by bisection, that needs no more shards.
     Groups with over a thousandth of the rows, a thousand at most, are joined by
     broadcast, the rest by a shuffle. A null text has no bytes and groups with
     the empty text; null ids stay null; repeated rows get a slot each; an empty
@@ -133,7 +136,7 @@ def shard_documents(df: DataFrame, shards: int = 24, id_col: str = "doc_id", tex
             at = np.fromiter((next(packed) for _ in range(len(batch))), np.int64, len(batch))
             yield to_batch({c: batch.column(c) for c in ("digest", "rows", "bytes")} | {"bundle": base + at}, schema)
 
-    bundled, _ = stored(groups.repartition(-(-count // TASK_GROUPS) or 1, "digest").sortWithinPartitions(F.desc("bytes"), "digest").mapInArrow(bundle, "digest binary, rows long, bytes long, bundle long"), "shard-bundles")
+    bundled, _ = stored(groups.repartition(min(-(-count // TASK_GROUPS) or 1, TASKS), "digest").sortWithinPartitions(F.desc("bytes"), "digest").mapInArrow(bundle, "digest binary, rows long, bytes long, bundle long"), "shard-bundles")
     items = bundled.groupBy("bundle").agg(F.sum("bytes").alias("bytes")).orderBy("bundle").toPandas()
     bins = fewest_capacity(items["bytes"].tolist(), shards)
     placed = spark.createDataFrame([(int(a), int(b)) for a, b in zip(items["bundle"], bins, strict=True)], "bundle long, shard int")
