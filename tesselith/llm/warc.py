@@ -165,7 +165,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                 if held:
                     yield to_batch(dict(zip(schema.names, zip(*held, strict=True), strict=True)), schema)
 
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), manifest.count(), 1)  # files are large
     return manifest.repartition(n, "file").mapInArrow(run, HEADERS)
 
 
