@@ -58,6 +58,8 @@ OTHER_BANDS = [
     (8192, 0.12, 0.75, 0.15, 0.80),
     (1 << 62, 0.08, 0.70, 0.15, 0.80),
 ]
+#: From so many distinct words on, pairs of words are numbered anew, or three would not fit 63 bits.
+NUMBERED = 2_000_000
 #: From this share of continuation bytes on, a text is one of another script.
 OTHER_SHARE = 0.2
 
@@ -79,7 +81,7 @@ def _repeat_words(words: list[bytes]) -> int:
     if len(seen) == n:
         return 0
     v = len(seen)
-    if v < 2_000_000:
+    if v < NUMBERED:
         windows = (ids[:-2] * v + ids[1:-1]) * v + ids[2:]
     else:  # keeps the product within 63 bits: number the pairs first
         windows = np.unique(ids[:-2] * v + ids[1:-1], return_inverse=True)[1] * v + ids[2:]
@@ -149,8 +151,8 @@ def compression_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     base_failed: under 50 words, or over half of the words lie in repeated 3-word
     windows. kept: not base_failed, and the compressed share and the structure of
     the whole text and of every fixed chunk within the limits of its own length
-    band. ratio is the whole text's share, chunk_ratio the chunks' median. A null or blank text has counts of 0, null ratios and is
-    base_failed; null ids stay null; repeated rows give repeated rows; other
+    band. ratio is the whole text's share, chunk_ratio the chunks' median. A null or
+    blank text has counts of 0 and is base_failed; without bytes its ratios are null. Null ids stay null; repeated rows give repeated rows; other
     columns are not read. Whole texts are used, of any length. No shuffle.
     """
     schema = pa.schema([*((c, pa.int64()) for c in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), *((c, pa.bool_()) for c in ("base_failed", "kept")), *((c, pa.float64()) for c in ("ratio", "chunk_ratio"))])
@@ -167,7 +169,11 @@ def compression_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def filter_quality(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose text is kept by the same rules. No shuffle."""
+    """The rows, with all their columns, whose text is kept by the same rules. No shuffle.
+
+    A null, empty or blank text has no words and goes; repeated rows are judged
+    each; other columns, of any name, are passed on; an empty table gives none.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=LEVEL, write_checksum=False)
