@@ -17,14 +17,25 @@ __all__ = ["join_counted", "new_path", "release", "remove", "steps", "stored", "
 STEP_BYTES = 4 << 20
 
 
-def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+#: Rows that Spark hands to Python at a time.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def stored(df: DataFrame, name: str, batch_rows: int | None = None) -> tuple[DataFrame, str]:
     """The frame written as Parquet to the shared folder and read back, and its path.
 
-    This cuts the lineage without tying blocks to executors.
+    This cuts the lineage without tying blocks to executors. Where rows are wide,
+    `batch_rows` keeps the batches that go to Python and back small meanwhile.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(BATCH_ROWS)
+    if batch_rows:
+        spark.conf.set(BATCH_ROWS, min(batch_rows, int(before)) if int(before) > 0 else batch_rows)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -207,6 +207,8 @@ PIECE, PIECE_BYTES = 4096, 1 << 26
 KEY_STEP, KEY_BLOCK, KEY_DOCS = 1 << 20, 1 << 21, 8000
 #: Sets that a task remembers to have made keys for.
 SEEN = 200_000
+#: Rows with texts, and with whole sets, that go to Python at a time.
+TEXT_ROWS, SET_ROWS = 1000, 500
 #: Ids of documents whose sets are fetched by broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: A row is a document (doc, mark, digest, n, sketch) or a class that has a key with others (key, frequent: the classes that have it, FREQUENT at most).
@@ -313,6 +315,7 @@ def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given = np.repeat(keep, lengths)
         if given.any():
             yield rows(key=k[given], frequent=np.minimum(np.repeat(size, lengths)[given], FREQUENT).astype(np.int32), **{"class": c[given]})
+    release()
     if len(held[0]) > 1:
         yield rows(key=held[0], frequent=np.full(len(held[0]), len(held[0]), np.int32), **{"class": held[1]})
 
@@ -396,6 +399,8 @@ def _across(part: int, per: int):
                 held.append(batch.slice(begin, end - begin))
         if held:
             yield from found(pa.Table.from_batches(held).combine_chunks())
+        del held
+        release()
 
     return run
 
@@ -417,11 +422,12 @@ def _sets_of(wanted: DataFrame, texts: DataFrame, classes: DataFrame, size: int)
                     seen.clear()
                 if rows:
                     yield to_batch(dict(zip(set_schema.names, zip(*rows, strict=True), strict=True)), set_schema)
+        release()
 
     # an id may have several texts, of which the classes are told by digest; a text may be there several times
     count = named.count()
     read = texts.select("doc", "text").join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, "doc").mapInArrow(sets, "doc long, digest binary, set binary")
-    known, known_path = stored(read.join(named, ["doc", "digest"]).select("class", "set"), "parity-sets")
+    known, known_path = stored(read.join(named, ["doc", "digest"]).select("class", "set"), "parity-sets", TEXT_ROWS)
     if known.count() > count:  # a row that is there several times
         once, _ = stored(known.dropDuplicates(["class"]), "parity-sets")
         remove(wanted.sparkSession, known_path)
@@ -439,10 +445,11 @@ def _verify(pairs: DataFrame, known: DataFrame, part: int, per: int) -> DataFram
             x, y = _numbers(batch.column("a_set")), _numbers(batch.column("b_set"))
             keep = pa.array([linked(p, q, part, per) for p, q in zip(x, y, strict=True)], pa.bool_())
             yield to_batch({c: batch.column(c).filter(keep) for c in "ab"}, schema)
+        release()
 
     first = pairs.join(known.select(F.col("class").alias("a"), F.col("set").alias("a_set")), "a")
     both = first.join(known.select(F.col("class").alias("b"), F.col("set").alias("b_set")), "b")
-    return stored(both.select("a", "b", "a_set", "b_set").mapInArrow(test, "a long, b long").distinct(), "parity-links")[0]
+    return stored(both.select("a", "b", "a_set", "b_set").mapInArrow(test, "a long, b long").distinct(), "parity-links", SET_ROWS)[0]
 
 
 def linked_classes(df: DataFrame, size: int, part: int, per: int, id_col: str, text_col: str, one_per_id: bool) -> tuple[DataFrame, DataFrame]:
@@ -512,7 +519,9 @@ def linked_classes(df: DataFrame, size: int, part: int, per: int, id_col: str, t
         cut = several.withColumn("piece", piece).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last")).cast("array<long>")))
         spread = cut.select("pivot", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"), "class", "component", "piece").join(classes.select("class", "n", "sketch"), "class").join(known, "class")
         across = spread.repartition(n, "pivot", "i", "j").sortWithinPartitions("pivot", "i", "j").mapInArrow(_across(part, per), "a long, b long")
-        found = connected_components(links.unionByName(across))
+        joined, joined_path = stored(across, "parity-across", SET_ROWS)
+        found = connected_components(links.unionByName(joined))
+        remove(spark, joined_path)
     for p in (shared_path, runs_path, members_path, placed_path, several_path):
         remove(spark, p)
     whole = classes.select("digest", "class", "copies").join(found.withColumnRenamed("node", "class"), "class", "left")
