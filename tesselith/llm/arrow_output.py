@@ -8,25 +8,33 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesselith.llm.common import new_path, steps, to_batch
-from tesselith.llm.word_tokens import vocabulary
+from tesselith.llm.word_tokens import ENCODE_BYTES, vocabulary
 
-#: Tokens of a sequence, and sequences of a record batch.
-LENGTH, BATCH = 2048, 512
-MANIFEST = "file string, part int, n_tokens long, doc_ids binary, null_ids binary, n_docs long, lengths binary"
+#: Tokens of a sequence, sequences of a record batch, and tokens from which on a file is closed after a document.
+LENGTH, BATCH, FILE_TOKENS = 2048, 512, 1 << 26
+#: Bytes of text for which the writer gets a partition; ids drawn to place the partitions' ends, per partition and at most.
+PARTITION_BYTES, DRAWN, MOST_DRAWN = 1 << 27, 200, 1_000_000
+#: Place of null ids in the order.
+FIRST = -(1 << 63)
+#: Files whose starts are joined by broadcast; more are joined by a shuffle.
+BROADCAST_FILES = 100_000
+#: A row per document: its file, its place there, its id and how many ids the file has of it.
+INDEX = "file string, part int, place long, doc_id long, n_tokens long"
 
 
 def file_schema(length: int, kind: pa.DataType) -> pa.Schema:
-    """`ids` and `mask` are fixed-size lists: row i of a batch starts at i * length in its buffer."""
-    return pa.schema([("ids", pa.list_(pa.field("item", kind, False), length)), ("mask", pa.list_(pa.field("item", pa.bool_(), False), length))])
+    """`ids` and `mask` (1: an id, 0: padding) are fixed-size lists of whole bytes: row i of a batch starts at i * length in its buffer."""
+    return pa.schema([("ids", pa.list_(pa.field("item", kind, False), length)), ("mask", pa.list_(pa.field("item", pa.uint8(), False), length))])
 
 
 class SequenceWriter:
-    """Appends ids to one stream file; only the last sequence is padded, with mask false."""
+    """Appends ids to one stream file; only the last sequence is padded."""
 
     def __init__(self, sink, length: int, kind: pa.DataType):
         self.length, self.kind, self.schema = length, kind, file_schema(length, kind)
@@ -44,7 +52,7 @@ class SequenceWriter:
             self.held, self.count = [ids[whole:]], len(ids) - whole
 
     def _write(self, ids: np.ndarray, valid: int) -> None:
-        lists = (pa.FixedSizeListArray.from_arrays(x, type=f.type) for x, f in zip((pa.array(ids, self.kind), pa.array(np.arange(len(ids)) < valid)), self.schema, strict=True))
+        lists = (pa.FixedSizeListArray.from_arrays(x, type=f.type) for x, f in zip((pa.array(ids, self.kind), pa.array((np.arange(len(ids)) < valid).astype(np.uint8))), self.schema, strict=True))
         self.out.write_batch(pa.RecordBatch.from_arrays(list(lists), schema=self.schema))
 
     def close(self) -> None:
@@ -54,104 +62,197 @@ class SequenceWriter:
         self.out.close()
 
 
-def write_sequences(df: DataFrame, path: str, folder: str, end_id: int = 1, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes the ids of all documents in ascending doc_id order; returns the manifest.
+class Ends:
+    """The ends of partitions in the order of (doc_id, hash of the text)."""
 
-    Rows are range-partitioned by doc_id (ties by a hash of the text, then by row,
-    so that one id with very many rows still spreads), sorted, encoded and written
-    a file per partition. The manifest, a Parquet table under `folder`, names a
-    file and has its documents' ids and lengths; a retried task's earlier file is
-    not in it. `folder` must be one that pyarrow's file systems reach.
+    def __init__(self, rows: DataFrame, n: int, count: int):
+        rate = min(1.0, min(DRAWN * n, MOST_DRAWN) / max(count, 1))
+        drawn = rows.select(F.coalesce("doc_id", F.lit(FIRST)).alias("id")).where(F.rand(7) < rate)
+        ids = np.sort(drawn.toArrow().column("id").to_numpy())
+        self.ids = ids[[len(ids) * k // n for k in range(1, n)]] if len(ids) else ids
+        self.hashes = np.full(len(self.ids), FIRST)
+        own, at, times = np.unique(self.ids, return_index=True, return_counts=True)
+        hot = own[times > 1].tolist()
+        if hot:  # an id over several partitions is cut by the texts' hashes
+            drawn = rows.select(F.coalesce("doc_id", F.lit(FIRST)).alias("id"), F.xxhash64("text").alias("hash")).where(F.col("id").isin(hot)).where(F.rand(8) < rate).toArrow()
+            found, hashes = drawn.column("id").to_numpy(), drawn.column("hash").to_numpy()
+            for i, begin, m in zip(own[times > 1], at[times > 1], times[times > 1], strict=True):
+                of = np.sort(hashes[found == i])
+                if len(of):
+                    self.hashes[begin : begin + m] = of[[len(of) * k // (m + 1) for k in range(1, m + 1)]]
+
+    def partitions(self, ids: np.ndarray, hashes: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """The partition of each row; one whose key is the end of several goes to any of them."""
+        left, right = np.searchsorted(self.ids, ids, "left"), np.searchsorted(self.ids, ids, "right")
+        for i in np.flatnonzero(left != right).tolist():
+            own = self.hashes[left[i] : right[i]]
+            begin = left[i]
+            left[i], right[i] = begin + np.searchsorted(own, hashes[i], "left"), begin + np.searchsorted(own, hashes[i], "right")
+        return rng.integers(left, right + 1)
+
+
+def write_sequences(df: DataFrame, path: str, folder: str, end_id: int = 1, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", file_tokens: int = FILE_TOKENS) -> DataFrame:
+    """Writes the ids of all documents in ascending doc_id order; returns the index.
+
+    Rows are encoded where they are read, and their compressed ids dealt to ranges
+    of doc_id (ties by a hash of the text, so that one id with very many rows
+    spreads, and repeated rows by chance), sorted and written, to a new file after
+    `file_tokens`. The index, a Parquet table under `folder`, has a row per
+    document, so neither a task nor a cell holds a file's documents; a retried
+    task's earlier files are not in it. `folder` must be one that pyarrow's file
+    systems reach.
     """
     spark = df.sparkSession
     kind = pa.uint16() if len(vocabulary(path).ends) <= 1 << 16 and end_id < 1 << 16 else pa.uint32()
     wide = np.dtype("<u2") if kind == pa.uint16() else np.dtype("<u4")
     end = int(end_id).to_bytes(4, "little")
-    schema = pa.schema([("file", pa.string()), ("part", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.binary()), ("null_ids", pa.binary()), ("n_docs", pa.int64()), ("lengths", pa.binary())])
+    schema = pa.schema([("file", pa.string()), ("part", pa.int32()), ("place", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64())])
+    encoded_schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("hash", pa.int64()), ("ids", pa.binary())])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        own, out = vocabulary(path), None
-        ids, lengths = [], []
+        own, pack, rng = vocabulary(path), zstandard.ZstdCompressor(level=3, write_checksum=False).compress, np.random.default_rng(TaskContext.get().partitionId())
         for batch in batches:
-            for part in steps(batch, "text"):
+            for part in steps(batch, "text", ENCODE_BYTES):
+                ids = [pack(np.frombuffer(x + end, "<u4").astype(wide)) for x in own.encode(part.column("text").to_pylist())]
+                at = ends.value.partitions(np.asarray(part.column("doc_id").fill_null(FIRST)), np.asarray(part.column("hash")), rng)
+                yield to_batch({"part": at.astype(np.int32), "doc_id": part.column("doc_id"), "hash": part.column("hash"), "ids": ids}, encoded_schema)
+
+    def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack, out, place = zstandard.ZstdDecompressor().decompress, None, 0
+        system, at = fs.FileSystem.from_uri(f"{folder}/data")
+        for batch in batches:
+            for part in steps(batch, "ids"):
+                number = part.column("part")[0].as_py()
                 if out is None:
-                    number = TaskContext.get().partitionId()
-                    system, at = fs.FileSystem.from_uri(f"{folder}/data")
                     system.create_dir(at, recursive=True)
-                    name = f"part-{number:06d}-{uuid.uuid4().hex}.arrows"
+                    name = f"part-{number:06d}-{place:012d}-{uuid.uuid4().hex}.arrows"
                     sink = system.open_output_stream(f"{at}/{name}")
                     out = SequenceWriter(sink, length, kind)
-                got = [x + end for x in own.encode(part.column("text").to_pylist())]
-                out.add(np.frombuffer(b"".join(got), "<u4").astype(wide))
-                ids.append(part.column("doc_id"))
-                lengths.append(np.array([len(x) // 4 for x in got], np.int64))
+                got = list(map(unpack, part.column("ids").to_pylist()))
+                out.add(np.frombuffer(b"".join(got), wide))
+                sizes = np.array([len(x) // wide.itemsize for x in got], np.int64)
+                yield to_batch({"file": pa.array([f"{folder}/data/{name}"]).take(pa.array(np.zeros(len(part), np.int64))), "part": np.full(len(part), number, np.int32), "place": np.arange(place, place + len(part)), "doc_id": part.column("doc_id"), "n_tokens": sizes}, schema)
+                place += len(part)
+                if out.total >= file_tokens:
+                    out.close()
+                    sink.close()
+                    out = None
         if out is not None:
             out.close()
             sink.close()
-            all_ids, sizes = pa.concat_arrays(ids), np.concatenate(lengths)
-            missing = np.asarray(all_ids.is_null().to_numpy(zero_copy_only=False))
-            yield to_batch({"file": [f"{folder}/data/{name}"], "part": [number], "n_tokens": [out.total], "doc_ids": [np.asarray(all_ids.fill_null(0)).tobytes()], "null_ids": [np.packbits(missing).tobytes()], "n_docs": [len(sizes)], "lengths": [sizes.tobytes()]}, schema)
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    keys = ["doc_id", F.xxhash64("text"), F.monotonically_increasing_id()]
-    ranged = rows.repartitionByRange(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), *keys).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    ranged.mapInArrow(run, MANIFEST).write.mode("overwrite").parquet(f"{folder}/manifest")
-    return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
+    count, size = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (size or 0) // PARTITION_BYTES)
+    ends = spark.sparkContext.broadcast(Ends(rows, n, count))
+    encoded = rows.withColumn("hash", F.xxhash64("text")).mapInArrow(encode, "part int, doc_id long, hash long, ids binary")
+    encoded.repartitionById(n, "part").sortWithinPartitions("doc_id", "hash").mapInArrow(write, INDEX).write.mode("overwrite").parquet(f"{folder}/index")
+    return spark.read.schema(INDEX).parquet(f"{folder}/index")
 
 
-def read_sequences(spark: SparkSession, folder: str, length: int = LENGTH) -> DataFrame:
+def read_sequences(spark: SparkSession, folder: str) -> DataFrame:
     """Each document of a written folder: doc_id, start, n_tokens, ids_crc32, from the files' own ids."""
-    manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
+    index = spark.read.schema(INDEX).parquet(f"{folder}/index")
     # one light row per file: where its ids begin among all
-    starts = manifest.select("file", (F.sum("n_tokens").over(Window.orderBy("part")) - F.col("n_tokens")).alias("base"))
+    files = index.groupBy("file").agg(F.min("part").alias("part"), F.min("place").alias("place"), F.sum("n_tokens").alias("held"))
+    before = Window.orderBy("part", "place").rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select("file", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("base"))
     schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "n_tokens", "ids_crc32")])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                system, at = fs.FileSystem.from_uri(row["file"])
-                sizes = np.frombuffer(row["lengths"], np.int64)
-                crc = _crc_by_document(system, at, sizes)
-                missing = np.unpackbits(np.frombuffer(row["null_ids"], np.uint8), count=len(sizes)).astype(bool)
-                yield to_batch({"doc_id": pa.array(np.frombuffer(row["doc_ids"], np.int64), mask=missing), "start": row["base"] + np.cumsum(sizes) - sizes, "n_tokens": sizes, "ids_crc32": crc}, schema)
+        last, ids, start = None, None, 0
+        for batch in batches:  # a file's documents follow each other, by place
+            if not len(batch):
+                continue
+            names = batch.column("file").to_pylist()
+            sizes, starts_, crc = batch.column("n_tokens").to_pylist(), [], []
+            for name, base, n in zip(names, batch.column("base").to_pylist(), sizes, strict=True):
+                if name != last:
+                    if ids is not None:
+                        ids.end()
+                    last, ids, start = name, _Ids(name), base
+                crc.append(ids.crc(n))
+                starts_.append(start)
+                start += n
+            yield to_batch({"doc_id": batch.column("doc_id"), "start": starts_, "n_tokens": sizes, "ids_crc32": crc}, schema)
+        if ids is not None:
+            ids.end()
 
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    # by another column than the join's, or the few light rows would be read by one task, and all files with them
-    return manifest.join(starts.hint("merge"), "file").repartition(n, "part").select("file", "base", "doc_ids", "null_ids", "lengths").mapInArrow(run, ", ".join(f"{c} long" for c in schema.names))
-
-
-def _crc_by_document(system: fs.FileSystem, at: str, sizes: np.ndarray) -> list[int]:
-    """crc32 of each document's ids, read from the file a batch at a time."""
-    out: list[int] = []
-    doc, left, crc = 0, int(sizes[0]), 0
-    with system.open_input_file(at) as source, pa.ipc.open_stream(source) as stream:
-        for batch in stream:
-            ids, mask = (np.asarray(batch.column(i).values.to_numpy(zero_copy_only=False)) for i in (0, 1))
-            data, begin = ids[mask].astype("<u4"), 0
-            while begin < len(data):
-                took = min(left, len(data) - begin)
-                crc = zlib.crc32(data[begin : begin + took], crc)
-                begin, left = begin + took, left - took
-                if not left:
-                    out.append(crc)
-                    doc, crc = doc + 1, 0
-                    left = int(sizes[doc]) if doc < len(sizes) else -1
-    if doc != len(sizes):
-        raise ValueError(f"{at}: ids of {doc} documents, {len(sizes)} in the manifest")
-    return out
-
-
-def sequence_at(path: str, index: int, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence `index` of a local file and its mask, as views of the memory-mapped file."""
-    with pa.memory_map(path) as source, pa.ipc.open_stream(source) as stream:
-        for batch in stream:
-            if index < len(batch):
-                lists = batch.column(0).values
-                return lists.to_numpy(zero_copy_only=True)[index * length : (index + 1) * length], batch.column(1).values.slice(index * length, length).to_numpy(zero_copy_only=False)
-            index -= len(batch)
-    raise IndexError(index)
+    by_file = index.join(F.broadcast(starts) if files.count() <= BROADCAST_FILES else starts, "file")
+    return by_file.repartition(n, "file").sortWithinPartitions("file", "place").select("file", "base", "doc_id", "n_tokens").mapInArrow(run, ", ".join(f"{c} long" for c in schema.names))
+
+
+class _Ids:
+    """The ids of one file that are no padding, taken from the front, a batch in memory."""
+
+    def __init__(self, file: str):
+        system, at = fs.FileSystem.from_uri(file)
+        self.file, self.source = file, system.open_input_file(at)
+        self.stream, self.held = pa.ipc.open_stream(self.source), b""
+
+    def _more(self) -> bool:
+        batch = next(self.stream, None)
+        if batch is None:
+            return False
+        ids, mask = (batch.column(i).values.to_numpy(zero_copy_only=True) for i in (0, 1))
+        self.held = memoryview(ids[mask.view(bool)].astype("<u4")).cast("B")
+        return True
+
+    def crc(self, n: int) -> int:
+        """crc32 of the next n ids."""
+        out, left = 0, 4 * n
+        while left:
+            if not len(self.held) and not self._more():
+                raise ValueError(f"{self.file}: {left // 4} ids less than its documents have")
+            out = zlib.crc32(self.held[:left], out)
+            took = min(left, len(self.held))
+            self.held, left = self.held[took:], left - took
+        return out
+
+    def end(self) -> None:
+        """Closes the file, which has to be used up."""
+        if len(self.held) or self._more():
+            raise ValueError(f"{self.file}: more ids than its documents have")
+        self.source.close()
+
+
+class SequenceFile:
+    """Random access to a local file's sequences, as views of the memory-mapped file.
+
+    All batches but the last have BATCH sequences, so their messages are equally
+    long: the place of any is computed from the first one's, and nothing before it
+    is read.
+    """
+
+    def __init__(self, path: str):
+        self.source = pa.memory_map(path)
+        with pa.ipc.open_stream(self.source) as stream:
+            self.schema = stream.schema
+        self.length = self.schema.field("ids").type.list_size
+        self.source.seek(0)
+        pa.ipc.read_message(self.source)
+        self.begin = self.source.tell()
+        self.step = None
+        if self.source.size() > self.begin + 8:  # 8: the mark of the end
+            self.rows = len(self._batch(self.begin))
+            self.step = self.source.tell() - self.begin
+
+    def _batch(self, at: int) -> pa.RecordBatch:
+        self.source.seek(at)
+        return pa.ipc.read_record_batch(pa.ipc.read_message(self.source), self.schema)
+
+    def sequence(self, index: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and mask of one sequence, no copies."""
+        at = None if self.step is None or index < 0 else self.begin + index // self.rows * self.step
+        if at is None or at + 8 >= self.source.size():
+            raise IndexError(index)
+        batch, begin = self._batch(at), index % self.rows * self.length
+        if index % self.rows >= len(batch):
+            raise IndexError(index)
+        return tuple(c.values.to_numpy(zero_copy_only=True)[begin : begin + self.length] for c in batch.columns)
 
 
 def arrow_output(df: DataFrame, path: str, folder: str | None = None, end_id: int = 1, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -165,4 +266,4 @@ def arrow_output(df: DataFrame, path: str, folder: str | None = None, end_id: in
     spark = df.sparkSession
     folder = folder or new_path(spark, "sequences")
     write_sequences(df, path, folder, end_id, length, id_col, text_col)
-    return read_sequences(spark, folder, length)
+    return read_sequences(spark, folder)
