@@ -9,10 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesselith.llm.common import remove, stored, to_batch
+from tesselith.llm.common import join_counted, remove, stored, to_batch
 
 #: Links that a task contracts together before anything is shuffled.
 CONTRACTED = 1_000_000
+#: Links from which on those of a node with very many are dealt to all tasks.
+MANY_LINKS = 1_000_000
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -54,13 +56,13 @@ def connected_components(links: DataFrame) -> DataFrame:
     state = _state(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count(F.lit(1)).alias("n"))
         # large star: larger neighbours of a node go to the least of its surroundings
-        large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a != b").distinct()
+        large = _join(both.where("b > a"), least, 2 * state[0]).select(F.col("m").alias("a"), "b").where("a != b").distinct()
         # small star: a node's smaller neighbours, and itself, likewise
         smaller, small_path = stored(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "component-large")
-        least = smaller.groupBy("a").agg(F.min("b").alias("m"))
-        small = smaller.join(least, "a").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a != b").distinct()
+        least = smaller.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = _join(smaller, least, 2 * state[0]).select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a != b").distinct()
         next_, next_path = stored(small, "component-links")
         remove(links.sparkSession, small_path)
         remove(links.sparkSession, path)
@@ -69,5 +71,10 @@ def connected_components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
 
 
+def _join(links: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """Links and what is known of their node a; of many links, those of a hub are not joined by one task."""
+    return join_counted(links, least, "a", "n", total) if total >= MANY_LINKS else links.join(least, "a")
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())

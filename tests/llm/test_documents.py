@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 import corpus_pipeline
 from tesselith.llm.components import connected_components
 from tesselith.llm.compression_quality import BANDS, CHUNK_BYTES, LEVEL, base_counts, compression_quality, filter_quality, judge
-from tesselith.llm.language_id import RANKS, gram_counts, identify_language, learn_profiles, top_grams
+from tesselith.llm.language_id import RANKS, Profiles, gram_counts, identify_language, learn_profiles, top_grams
 from tesselith.llm.parity_join import Bands, fold, jaccard_components, keep_one_of_each, linked, parity_sketch, pigeonhole_keys, shingle_sets
 from tesselith.llm.sharding import best_fit_decreasing, fewest_capacity, shard_documents
 
@@ -103,6 +103,30 @@ def test_language_on_awkward_rows(awkward, pairs, nothing):
     assert {r["lang_pred"] for r in identify_language(unlabelled).collect()} == {"und"}
 
 
+def test_marks_alone_are_no_language():
+    profiles = Profiles({"en": top_grams("the \u0301 house \u0301\u0302").tolist(), "fr": top_grams("la maison").tolist()})
+    for text in (None, "", " \n", "\u0301\u0302\u0301", "12 \u0301, 4", "½ ² ٣ 😀"):
+        assert profiles.predict(text) == ("und", 0.0)
+    assert profiles.predict("the\u0301 house")[0] == "en"
+
+
+def test_ties_go_to_the_first_language_and_the_lower_code():
+    grams = top_grams("abc abd").tolist()
+    profiles = Profiles({"zz": grams, "aa": grams, "mm": grams[::-1]})
+    assert profiles.predict("abc abd") == ("aa", 1.0)
+    assert top_grams("b a").tolist() == sorted(top_grams("a b").tolist())  # equal counts: by code
+    # a n-gram that no profile has is as far as can be from each
+    assert profiles.predict("xyz") == ("aa", 0.0)
+
+
+def test_profiles_are_learned_from_a_sample_of_any_share(spark):
+    rows = [(i, "the house of the river" if i % 2 else "la maison de la ville", "en" if i % 2 else "fr") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole, part = learn_profiles(docs, 10**9), learn_profiles(docs, 20)
+    assert whole.languages == part.languages == ["en", "fr"] and set(part.grams.tolist()) == set(whole.grams.tolist())
+    assert [whole.predict(t)[0] for _, t, _ in rows[:2]] == ["fr", "en"]
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     got = identify_language(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
@@ -147,12 +171,21 @@ def test_base_counts(text):
     assert base_counts(text) == slow_counts(text)
 
 
+def test_many_distinct_words_are_counted_alike(monkeypatch):
+    import tesselith.llm.compression_quality as module
+
+    rng = random.Random(7)
+    texts = [" ".join(f"w{rng.randrange(n)}" for _ in range(n)) for n in (5, 60, 700, 5000)]
+    monkeypatch.setattr(module, "NUMBERED", 3)
+    assert [base_counts(t) for t in texts] == [slow_counts(t) for t in texts]
+
+
 def test_compression_quality(awkward, pairs, nothing):
     rows = compression_quality(awkward).collect()
     packer = zstandard.ZstdCompressor(level=LEVEL, write_checksum=False)
     want = Counter()
     for i, t in pairs:
-        counts, data = slow_counts(t) if len(t) < 10_000 else base_counts(t), t.encode()
+        counts, data = slow_counts(t), t.encode()
         failed = counts[0] < 50 or counts[4] > counts[0] / 2
         kept = False
         if not failed:
@@ -242,7 +275,11 @@ def test_components(spark, links):
     assert not got
 
 
-def test_long_chain_of_links(spark):
+@pytest.mark.parametrize("many", [0, 1_000_000])
+def test_long_chain_of_links(spark, monkeypatch, many):
+    import tesselith.llm.components as module
+
+    monkeypatch.setattr(module, "MANY_LINKS", many)
     links = [(i, i + 1) for i in range(300)]
     random.Random(4).shuffle(links)
     got = connected_components(spark.createDataFrame(links, "a long, b long").repartition(7)).collect()
@@ -314,6 +351,48 @@ def test_jaccard_components_on_near_copies(spark, size, part):
     assert got == brute_components(rows, size, part)
 
 
+@pytest.mark.parametrize("frequent", [2, 4])
+def test_frequent_keys_are_told_from_rare_ones(spark, monkeypatch, frequent):
+    """A passage that all documents share, within texts of which some are near copies; blocks of keys with frequent ones in them."""
+    import tesselith.llm.parity_join as module
+
+    monkeypatch.setattr(module, "FREQUENT", frequent)
+    monkeypatch.setattr(module, "KEY_BLOCK", 500)
+    rng = random.Random(frequent)
+    words = [f"w{i}" for i in range(400)]
+    passage = [rng.choice(words) for _ in range(60)]
+    rows = []
+    for g in range(20):
+        own = [rng.choice(words) for _ in range(rng.choice([30, 60, 90]))]
+        for _ in range(rng.choice([1, 1, 4])):
+            copy = own + passage
+            for _ in range(rng.choice([0, 1, 2, 3])):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            rows.append((len(rows), " ".join(copy)))
+    got = Counter(map(tuple, module.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), 5, 80).collect()))
+    assert got == brute_components(rows, 5, 80)
+
+
+def test_unrelated_sets_hardly_share_keys():
+    """Random sets of one size: no part that two have is empty, so chance collisions are next to none."""
+    rng = np.random.default_rng(8)
+    bands = Bands(80, 100)
+    for n in (30, 100, 300, 1000):
+        keys = [pigeonhole_keys(np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)), bands) for _ in range(400)]
+        run = np.unique(np.concatenate(keys), return_counts=True)[1]
+        pairs = (run * (run - 1) // 2).sum() / (400 * 399 / 2)
+        assert pairs < 1e-4 and run.max() <= 2
+
+
+def test_keys_do_not_outgrow_the_text():
+    bands = Bands(80, 100)
+    rng = np.random.default_rng(9)
+    for n in (1, 4, 5, 6, 50, 10_000):
+        x = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        assert len(pigeonhole_keys(x, bands)) <= n + 12
+    assert bands.shape(bands.band(10**9))[0] < 10**9
+
+
 def test_long_runs_are_compared_in_pieces(spark, monkeypatch):
     import tesselith.llm.parity_join as module
 
