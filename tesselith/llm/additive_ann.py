@@ -140,28 +140,32 @@ def _clean(df: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, np.dtyp
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, vecs = [], []
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                x = None if i is None or not v.is_valid or v.values.null_count else v.values.to_numpy(zero_copy_only=False).astype(kind)
-                if x is not None and len(x) and np.isfinite(x).all() and x.any():
-                    ids.append(i)
-                    vecs.append(x.tobytes())
-            yield to_batch({"vec_id": ids, "vec": vecs}, schema)
+            ids, lists = batch.column(0), batch.column(1)
+            x = lists.values.to_numpy(zero_copy_only=False).astype(kind)  # a null is not a number here
+            bounds = lists.offsets.to_numpy().astype(np.int64)
+            within = lambda flags: np.diff(np.append(0, np.cumsum(flags))[bounds])  # noqa: B023, E731
+            keep = ids.is_valid().to_numpy(zero_copy_only=False) & lists.is_valid().to_numpy(zero_copy_only=False) & (within(~np.isfinite(x)) == 0) & (within(x != 0) > 0)
+            starts, sizes = bounds[:-1][keep], np.diff(bounds)[keep]
+            ends = np.cumsum(sizes)
+            data = x[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+            buffers = [None, pa.py_buffer(np.append(0, ends * kind.itemsize).astype(np.int32)), pa.py_buffer(data.tobytes())]
+            yield to_batch({"vec_id": ids.filter(pa.array(keep)), "vec": pa.Array.from_buffers(pa.binary(), len(sizes), buffers)}, schema)
 
     rows, _ = stored(df.select(F.col(id_col).cast("long"), F.col(vec_col)).mapInArrow(run, "vec_id long, vec binary"), "ann-rows")
     sizes = rows.groupBy(F.octet_length("vec").alias("size")).count().orderBy(F.desc("count"), "size").first()
     return rows.where(F.octet_length("vec") == (sizes["size"] if sizes else 0)), kind
 
 
-def _exact_unit(vecs: list[bytes], kind: np.dtype) -> np.ndarray:
-    x = np.frombuffer(b"".join(vecs), kind).reshape(len(vecs), -1).astype(np.float64)
+def _exact_unit(data: bytes, n: int, kind: np.dtype) -> np.ndarray:
+    """n vectors, one after another, at length 1 in double precision."""
+    x = np.frombuffer(data, kind).reshape(n, -1).astype(np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)  # keeps squares finite
     x /= np.sqrt((x**2).sum(axis=1, keepdims=True))
     return x
 
 
 def _unit(column: pa.Array, kind: np.dtype) -> np.ndarray:
-    return _exact_unit(column.to_pylist(), kind).astype(np.float32)
+    return _exact_unit(b"".join(column.to_pylist()), len(column), kind).astype(np.float32)
 
 
 def nearest_neighbours(df: DataFrame, every: int = 50, k: int = 5, rerank: int = RERANK, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -215,7 +219,7 @@ def nearest_neighbours(df: DataFrame, every: int = 50, k: int = 5, rerank: int =
         for batch in batches:
             for i in range(0, len(batch), QUERIES):
                 part = batch.slice(i, QUERIES)
-                data = np.asarray(part.column("query_id")).tobytes() + np.asarray(part.column("mark")).tobytes() + _exact_unit(part.column("vec").to_pylist(), kind).tobytes()
+                data = np.asarray(part.column("query_id")).tobytes() + np.asarray(part.column("mark")).tobytes() + b"".join(part.column("vec").to_pylist())
                 yield to_batch({"task": [0], "kind": [1], "id": [len(part)], "mark": [0], "data": [data], "vec": [None], "norm": [0.0], "like": [0.0]}, row)
 
     index = distinct.select(F.pmod(F.xxhash64("rep"), F.lit(tasks)).cast("int").alias("task"), "rep", F.xxhash64("vec").alias("mark"), "vec").mapInArrow(encode, row_ddl)
@@ -236,12 +240,12 @@ def nearest_neighbours(df: DataFrame, every: int = 50, k: int = 5, rerank: int =
                     continue
                 if index_ is None:
                     codes = np.frombuffer(b"".join(x[1] for x in held), np.uint8).reshape(len(held), -1).astype(np.int64) + np.arange(own.books.shape[0]) * words
-                    index_ = np.array([x[0] for x in held]), np.ascontiguousarray(codes.T), np.array([x[2] for x in held], np.float32), _exact_unit([x[3] for x in held], kind), np.array([x[4] for x in held]), np.array([x[5] for x in held])
+                    index_ = np.array([x[0] for x in held]), np.ascontiguousarray(codes.T), np.array([x[2] for x in held], np.float32), _exact_unit(b"".join(x[3] for x in held), len(held), kind), np.array([x[4] for x in held]), np.array([x[5] for x in held])
                     held = []
                 reps, codes, norms, exact, like, owns = index_
                 n = row_["id"]
                 ids, marks = np.frombuffer(row_["data"][: 16 * n], np.int64).reshape(2, n)
-                asked_ = np.frombuffer(row_["data"][16 * n :], np.float64).reshape(n, -1)
+                asked_ = _exact_unit(row_["data"][16 * n :], n, kind)
                 best, own_marks, values = [], [], []
                 for query, table in zip(asked_, own.tables(asked_.astype(np.float32)), strict=True):
                     got = table[codes[0]]
