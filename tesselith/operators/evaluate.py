@@ -150,15 +150,21 @@ def _joined(spark: SparkSession, layout: Layout, query: BoundQuery, mini: MiniTa
 def by_joins(spark: SparkSession, layout: Layout, query: BoundQuery, plan: ScanPlan, columns: tuple[str, ...], direct: bool) -> DataFrame:
     """Tuples put together by joins, component by component, then the helpers' masks by a left join.
 
-    A block's own scan has the masks that it gives as a helper, so a component's
-    blocks help others only.
+    Components over the same partitions are joined as one, so the plan does not
+    grow with blocks; a tuple that lies in several is put together once. A block's
+    own scan has the masks that it gives as a helper, so a component's blocks help
+    others only.
     """
+    together: dict[frozenset[int], list[Scan]] = {}
+    for c in plan.components:
+        together.setdefault(frozenset(s.partition for s in c), []).extend(c)
+    components = list(together.values())
     wanted = [set(m.columns) for m in query.measures] if direct else [set(columns)]
     place = lambda s: (s.partition, s.block.block_id)
-    members = [set(map(place, c)) for c in plan.components]
+    members = [set(map(place, c)) for c in components]
     helpers = [s for s in plan.helpers if any(place(s) not in m for m in members)]
     every = bits(query.filters, query.filters)
-    rows = _union([_joined(spark, layout, query, MiniTables(layout, c, wanted, every, helpers), columns, direct) for c in plan.components])
+    rows = _union([_joined(spark, layout, query, MiniTables(layout, c, wanted, every, helpers), columns, direct) for c in components])
     if not helpers:
         return rows
     masks = _union(_fragments(spark, layout, query, helpers, ())).groupBy(F.col(TID).alias("__tid")).agg(mask_union(PASSED).alias("__more"))
