@@ -15,7 +15,7 @@ import corpus_pipeline
 from tesselith.llm.components import connected_components
 from tesselith.llm.compression_quality import BANDS, CHUNK_BYTES, LEVEL, base_counts, compression_quality, filter_quality, judge
 from tesselith.llm.language_id import RANKS, Profiles, gram_counts, identify_language, learn_profiles, top_grams
-from tesselith.llm.parity_join import Bands, fold, jaccard_components, keep_one_of_each, linked, parity_sketch, pigeonhole_keys, shingle_sets
+from tesselith.llm.parity_join import Bands, fold, jaccard_components, keep_one_of_each, linked, parity_sketch, pigeonhole_keys
 from tesselith.llm.sharding import best_fit_decreasing, fewest_capacity, shard_documents
 
 DATA = "/root/testdata/sf0.001"
