@@ -567,8 +567,12 @@ def keep_one_of_each(df: DataFrame, size: int = 5, part: int = 80, per: int = 10
     rows = joined.groupBy("doc", "mark").agg(F.count(F.lit(1)).alias("rows"))
     first, _ = stored(firsts.join(rows, ["doc", "mark"]), "parity-firsts")
     named = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(text_col).cast("string")).alias("mark"))
-    out = named.join(first.where("rows = 1").select("doc", "mark"), ["doc", "mark"], "left_semi")
-    again = named.join(F.broadcast(first.where("rows > 1").select("doc", "mark")) if first.where("rows > 1").count() <= BROADCAST_IDS else first.where("rows > 1").select("doc", "mark"), ["doc", "mark"], "left_semi").dropDuplicates(["doc", "mark"])
     loose = docs.where("doc is not null and n = 0").select("doc", "mark").distinct()
-    out = out.unionByName(again).unionByName(named.where("doc is null")).unionByName(named.join(loose, ["doc", "mark"], "left_semi"))
+    out = named.join(first.where("rows = 1").select("doc", "mark").unionByName(loose), ["doc", "mark"], "left_semi")
+    repeated = first.where("rows > 1").select("doc", "mark")
+    n = repeated.count()
+    if n:
+        out = out.unionByName(named.join(F.broadcast(repeated) if n <= BROADCAST_IDS else repeated, ["doc", "mark"], "left_semi").dropDuplicates(["doc", "mark"]))
+    if not docs.where("doc is null").isEmpty():
+        out = out.unionByName(named.where("doc is null"))
     return out.select("row.*")
